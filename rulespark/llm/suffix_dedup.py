@@ -11,21 +11,14 @@ strings have equal anchors. All strings with the same anchor position form a
 1. Each file yields its distinct (anchor hash, span hash, smallest id). Equal
    spans need no further look: all their strings belong to the smallest id.
 2. Where one anchor hash has several different spans, these may share only some
-   strings. The spans' bytes (fewer than ``2 * length`` each, one per distinct
-   span) are sorted by the column-wise construction of a collection's
-   Burrows-Wheeler transform (``collection_suffixes``): every round puts one
-   more symbol of each span in front of its suffix and updates the order and
-   the common prefixes. Suffixes with a common prefix of ``length`` bytes are
-   one string, and the smallest id among them owns it.
-3. Each file applies what the others found and what it knows itself.
-
-The column-wise construction needs as many rounds as the longest input has
-symbols, each passing over all that was built before. Over whole documents
-(up to 120,000 bytes) that is quadratic; over the spans the rounds are bounded
-by ``2 * length`` whatever the documents are.
-
-Nulls and empty texts have no bytes and lose none. Rows with equal ids never
-cause removals in each other. Hashes have 128 bits (anchor and span).
+   strings. The files are asked for the bytes of these spans (fewer than
+   ``2 * length`` each); every string in them is hashed, and the smallest id
+   that has a string owns it.
+3. Each file removes what the others found and what it knows itself.
+
+Nulls and empty texts have no bytes and lose none. Rows with null ids lose none
+and cause no removals. Rows with equal ids never cause removals in each other.
+Hashes have 128 bits (anchor and span, or anchor and string).
 """
 
 from __future__ import annotations
@@ -35,20 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespark.llm import textscan as ts
-from rulespark.llm.shared import arrow_path, shared_folder, text_or_empty
+from rulespark.llm.shared import arrow_path, text_or_empty, written
 
 GRAM = 25
 BLOCK = 3 << 19
 FLUSH = 1 << 21
-BLOCK_SPANS = 4096
+BUCKET_BYTES = 16 << 20
+ROWS_OUT = 1000
 VARIANT = np.dtype([("gram", "<u8"), ("span", "<u8"), ("id", "<i8")])
 REQUEST = np.dtype([("gram", "<u8"), ("span", "<u8")])
 ANSWER = np.dtype([("gram", "<u8"), ("span", "<u8"), ("bits", "<u8")])
-ALL = (1 << 64) - 1
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -120,13 +114,16 @@ def _scan(ids: np.ndarray, texts: pa.Array, length: int, gram: int):
         row0 += len(own)
 
 
-def _read(uri: str) -> tuple[np.ndarray, pa.Array]:
+def _read(uri: str) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(ids, texts as they are searched, texts) of a file: a row without an id
+    is searched as if it had no text."""
     import pyarrow.parquet as pq
 
     system, path = arrow_path(uri)
     table = pq.read_table(path, filesystem=system, columns=["doc_id", "text"])
-    texts = table["text"].cast(pa.large_binary()).combine_chunks()
-    return table["doc_id"].to_numpy(), texts
+    ids, texts = table["doc_id"].combine_chunks(), table["text"].cast(pa.large_binary()).combine_chunks()
+    searched = pa.compute.if_else(pa.compute.is_valid(ids), texts, pa.scalar(b"", pa.large_binary())) if ids.null_count else texts
+    return pa.compute.fill_null(ids, 0).to_numpy(), searched, texts
 
 
 def _distinct(rows: np.ndarray) -> np.ndarray:
@@ -149,7 +146,7 @@ def _scattered(rows: np.ndarray, buckets: int):
 
 def _file_variants(file: str, length: int, gram: int) -> np.ndarray:
     parts, held = [], 0
-    for g, s, i, *_ in _scan(*_read(file), length, gram):
+    for g, s, i, *_ in _scan(*_read(file)[:2], length, gram):
         rows = np.empty(len(g), VARIANT)
         rows["gram"], rows["span"], rows["id"] = g, s, i
         parts.append(_distinct(rows))
@@ -178,8 +175,8 @@ MESSAGES = pa.schema([("file", pa.string()), ("kind", pa.string()), ("rows", pa.
 
 def _owners(key: tuple, table: pa.Table) -> pa.Table:
     """Of one bucket: for each file, the spans that a smaller id outside it
-    has (kind ``all``), and the spans it owns that have to be compared string
-    by string (kind ``ask``)."""
+    has (kind ``all``), and the spans of which it has the smallest id that have
+    to be compared string by string (kind ``ask``)."""
     files = table["file"].to_pylist()
     parts = [np.frombuffer(x, VARIANT) for x in table["rows"].to_pylist()]
     rows = np.concatenate(parts)
@@ -196,7 +193,7 @@ def _owners(key: tuple, table: pa.Table) -> pa.Table:
     least = np.minimum.reduceat(rows["id"][new_span], np.flatnonzero(new_gram[new_span]))
     most = np.maximum.reduceat(rows["id"][new_span], np.flatnonzero(new_gram[new_span]))
     taken = rows["id"] > rows["id"][owner]
-    ask = new_span & (spans_of_gram > 1)[gram_no] & (least != most)[gram_no]
+    ask = ~taken & (spans_of_gram > 1)[gram_no] & (least != most)[gram_no]
     out = []
     for f in range(len(files)):
         for kind, which in (("all", taken), ("ask", ask)):
@@ -237,7 +234,7 @@ def _step_2(buckets: int, length: int, gram: int):
         asked = _merged(table, "ask", REQUEST)
         out, seen = [], np.zeros(len(asked), dtype=bool)
         if len(asked):
-            ids, texts = _read(file)
+            ids, texts, _ = _read(file)
             found: dict[int, tuple[int, bytes]] = {}
             for g, s, i, a, b, data, *_ in _scan(ids, texts, length, gram):
                 at = _find(asked, g, s)
@@ -257,84 +254,135 @@ def _step_2(buckets: int, length: int, gram: int):
     return answer
 
 
-def collection_suffixes(texts: np.ndarray, lengths: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted suffixes of a collection by column-wise insertion.
-
-    ``texts`` is (documents, longest), left-aligned; ``lengths`` says how much
-    of each row counts. Round r puts the r-th last symbol of every document in
-    front of its suffix: the place follows from the rank of that symbol in the
-    Burrows-Wheeler transform built so far (the documents' pending symbols),
-    and the common prefix with the neighbour is one more than the smallest
-    common prefix between the two places. Common prefixes are kept up to
-    ``depth``. Returns (document, start, common prefix with the one before).
-    """
-    count = len(texts)
-    every = np.arange(count)
-    longest = int(lengths.max()) if count else 0
-    # round 0: the empty suffixes, in document order
-    document, start = every.copy(), lengths.copy()
-    prefix = np.zeros(count, dtype=np.int16)
-    newest = np.ones(count, dtype=bool)
-    for r in range(1, longest + 1):
-        at = np.flatnonzero(newest & (start > 0))
-        if not len(at):
-            break
-        doc = document[at]
-        symbol = texts[doc, start[at] - 1]
-        # order of the new suffixes: by symbol, then by the order of what follows
-        order = np.argsort(symbol, kind="stable")
-        # where they go among the old ones that begin with the same symbol: the
-        # old suffix c+X lies where its X lies; so count the old X before each place
-        moved = _predecessors(texts, document, start)
-        known = np.flatnonzero(start < lengths[document])
-        del moved
-        first = texts[document[known], start[known]]
-        tail = _place(document, start, count, longest)[document[known] * (longest + 2) + start[known] + 1]
-        keys_old = first.astype(np.int64) * (len(document) + 1) + tail
-        keys_new = symbol[order].astype(np.int64) * (len(document) + 1) + at[order]
-        into = np.searchsorted(keys_old, keys_new)
-        all_keys = np.insert(keys_old, into, keys_new)
-        # common prefixes, from the range minima between the neighbours' tails
-        tails, heads = all_keys % (len(document) + 1), all_keys // (len(document) + 1)
-        common = np.zeros(len(all_keys), dtype=np.int16)
-        if len(all_keys) > 1:
-            same = np.flatnonzero(heads[1:] == heads[:-1]) + 1
-            common[same] = np.minimum(_range_minima(prefix, tails[same - 1] + 1, tails[same]) + 1, depth)
-        new_docs = np.insert(document[known], into, doc[order])
-        new_starts = np.insert(start[known], into, start[at][order] - 1)
-        is_new = np.insert(np.zeros(len(known), dtype=bool), into, True)
-        # the empty suffixes stay in front
-        document = np.concatenate([every, new_docs])
-        start = np.concatenate([lengths, new_starts])
-        prefix = np.concatenate([np.zeros(count, np.int16), common])
-        newest = np.concatenate([np.zeros(count, dtype=bool), is_new])
-    return document, start, prefix
-
-
-def _predecessors(texts, document, start):
-    return None
-
-
-def _place(document: np.ndarray, start: np.ndarray, count: int, longest: int) -> np.ndarray:
-    """Rank of each suffix (document, start)."""
-    out = np.empty(count * (longest + 2), dtype=np.int64)
-    out[document * (longest + 2) + start] = np.arange(len(document))
-    return out
-
+def _step_2_owners(length: int):
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        """Of one bucket: which strings of the spans belong to a smaller id
+        (kind ``some``; bit t stands for the span's string t)."""
+        files = table["file"].to_pylist()
+        asked = [np.frombuffer(x, REQUEST) for x in table["rows"].to_pylist()]
+        source = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
+        asked = np.concatenate(asked)
+        ids = np.concatenate([np.frombuffer(x, "<i8") for x in table["ids"].to_pylist()])
+        bodies = [x for row in table["bodies"].to_pylist() for x in row]
+        sizes = np.array([len(x) for x in bodies])
+        strings = sizes - length + 1
+        entry = np.repeat(np.arange(len(bodies)), strings)
+        t = np.arange(len(entry)) - np.repeat(np.cumsum(strings) - strings, strings)
+        hashes = ts.window_hashes(np.frombuffer(b"".join(bodies), np.uint8), length, ts.BASE)[(np.cumsum(sizes) - sizes)[entry] + t]
+        order = np.lexsort((ids[entry], hashes, asked["gram"][entry]))
+        entry, t, hashes = entry[order], t[order], hashes[order]
+        new = np.ones(len(entry), dtype=bool)
+        new[1:] = (hashes[1:] != hashes[:-1]) | (asked["gram"][entry[1:]] != asked["gram"][entry[:-1]])
+        owner = ids[entry[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+        taken = ids[entry] > owner
+        bits = np.zeros(len(bodies), dtype=ts.U)
+        np.bitwise_or.at(bits, entry[taken], ts.U(1) << t[taken].astype(ts.U))
+        out = []
+        for f in range(len(files)):
+            mine = np.flatnonzero((source == f) & (bits > 0))
+            if len(mine):
+                message = np.empty(len(mine), ANSWER)
+                message["gram"], message["span"], message["bits"] = asked["gram"][mine], asked["span"][mine], bits[mine]
+                out.append(_one(files[f], "some", message))
+        return pa.Table.from_pylist(out, MESSAGES)
+
+    return compare
+
+
+def _removed(ids: np.ndarray, texts: pa.Array, taken: np.ndarray, some: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the runs of bytes to remove, by row and start."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    for g, s, _, a, b, _, r, base in _scan(ids, texts, length, gram):
+        parts.append((g, s, r.astype(np.int32), (a - base).astype(np.int32), (b - a).astype(np.int8)))
+    if not parts:
+        return (np.empty(0, np.int64),) * 3
+    grams, spans, rows, first, more = (np.concatenate(x) for x in zip(*parts))
+    del parts
+    mine = ids[rows]
+    order = np.lexsort((mine, spans, grams))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (grams[order[1:]] != grams[order[:-1]]) | (spans[order[1:]] != spans[order[:-1]])
+    least = np.empty(len(order), dtype=np.int64)
+    least[order] = mine[order[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+    whole = mine > least
+    del order, new, least, mine
+    whole |= _find(taken, grams, spans) >= 0
+    at = _find(some, grams, spans)
+    partly = np.flatnonzero((at >= 0) & ~whole)
+    starts, ends, of = [first[whole].astype(np.int64)], [(first[whole].astype(np.int64) + more[whole] + length)], [rows[whole]]
+    if len(partly):
+        bits = some["bits"][at[partly]]
+        for t in range(length - gram + 1):
+            hit = partly[(bits >> ts.U(t)) & ts.U(1) == 1]
+            starts.append(first[hit].astype(np.int64) + t)
+            ends.append(first[hit].astype(np.int64) + t + length)
+            of.append(rows[hit])
+    start, end, row = np.concatenate(starts), np.concatenate(ends), np.concatenate(of).astype(np.int64)
+    order = np.lexsort((start, row))
+    start, end, row = start[order], end[order], row[order]
+    if not len(row):
+        return row, start, end
+    # no string goes beyond its row, so ends can be compared along all rows
+    far = np.int64(1) << np.int64(32)
+    reach = np.maximum.accumulate(row * far + end)
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (row[1:] * far + start[1:] > reach[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(row)) - 1
+    return row[new], start[new], reach[last] - row[last] * far
+
+
+RESULT = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+
+
+def _step_3(length: int, gram: int):
+    def remove(key: tuple, table: pa.Table) -> pa.Table:
+        """All rows of a file, without the bytes that others or it found."""
+        import pyarrow.parquet as pq
 
-def _range_minima(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """min(values[low..high]) for each pair, low <= high (sparse table)."""
-    span = high - low + 1
-    level = np.frompyfunc(int.bit_length, 1, 1)
-    out = np.empty(len(low), dtype=np.int64)
-    power = np.floor(np.log2(span)).astype(np.int64)
-    del level
-    table, size, k = values, 1, 0
-    while True:
-        here = np.flatnonzero(power == k)
-        if len(here):
-            out[here] = np.minimum(table[low[here]], table[high[here] - size + 1])
-        if not (power > k).any():
-            return out
-        table = np.minimum(table[:-size], table[size:])
-        size, k = size * 2, k + 1
+        file = key[0].as_py()
+        ids, searched, texts = _read(file)
+        row, start, end = _removed(ids, searched, _merged(table, "all", REQUEST), _merged(table, "some", ANSWER), length, gram)
+        del searched
+        edges = np.searchsorted(row, np.arange(len(ids) + 1))
+        n_spans = np.diff(edges)
+        n_removed = np.zeros(len(ids), dtype=np.int64)
+        np.add.at(n_removed, row, end - start)
+        system, path = arrow_path(file)
+        own = pq.read_table(path, filesystem=system, columns=["doc_id"])["doc_id"].combine_chunks()
+        out = []
+        for low in range(0, len(ids), ROWS_OUT):
+            high = min(low + ROWS_OUT, len(ids))
+            kept = []
+            for i, body in zip(range(low, high), texts.slice(low, high - low).to_pylist()):
+                if n_spans[i]:
+                    cut = slice(edges[i], edges[i + 1])
+                    froms, tos = [0, *end[cut].tolist()], [*start[cut].tolist(), len(body)]
+                    body = b"".join(body[x:y] for x, y in zip(froms, tos))
+                kept.append(body)
+            columns = [own.slice(low, high - low), pa.array(n_removed[low:high]), pa.array(n_spans[low:high]), pa.array(kept, pa.binary())]
+            out.append(pa.RecordBatch.from_arrays(columns, schema=RESULT))
+        return pa.Table.from_batches(out, RESULT)
+
+    return remove
+
+
+def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 50, gram: int = GRAM) -> DataFrame:
+    """doc_id, n_removed (bytes), n_spans (runs of removed bytes) and kept (the
+    bytes that are left) of every row."""
+    if not 1 <= length - gram + 1 <= 64:
+        raise ValueError("a string must have 1 to 64 anchor windows")
+    spark = docs.sparkSession
+    store = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")), "texts")
+    total = store.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # two anchors of 24 bytes in each length - gram + 2 bytes
+    buckets = max(1, -(-total * 2 * VARIANT.itemsize // (length - gram + 2) // BUCKET_BYTES))
+    names = store.inputFiles()
+    files = spark.createDataFrame([(x,) for x in names], "file string").repartition(max(1, len(names)))
+    message, asked = "file string, kind string, rows binary", "bucket int, file string, rows binary, ids binary, bodies array<binary>"
+    variants = files.mapInArrow(_step_1(buckets, length, gram), "bucket int, file string, rows binary")
+    found = written(variants.groupBy("bucket").applyInArrow(_owners, message), "owners")
+    bodies = found.where("kind = 'ask'").groupBy("file").applyInArrow(_step_2(buckets, length, gram), asked)
+    some = bodies.groupBy("bucket").applyInArrow(_step_2_owners(length), message)
+    every = files.select("file", F.lit("none").alias("kind"), F.lit(b"").alias("rows"))
+    messages = found.where("kind = 'all'").unionAll(some).unionAll(every)
+    return messages.groupBy("file").applyInArrow(_step_3(length, gram), "doc_id long, n_removed long, n_spans long, kept binary")
