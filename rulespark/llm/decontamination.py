@@ -13,8 +13,8 @@ The benchmark side is held in memory block by block: a block has at most
 is matched against all documents. One block means one pass and no shuffle.
 
 Nulls, empty texts and texts without words have no words: never contaminated,
-and as items they match nothing. Rows are never merged when the benchmark is
-one block; with several blocks, rows that agree in id and text are one row.
+and as items they match nothing. Rows are never merged: with several blocks,
+every row has a stored key, and what the blocks found is joined on it alone.
 """
 
 from __future__ import annotations
@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulespark.llm import textscan as ts
-from rulespark.llm.shared import slices, text_or_empty
+from rulespark.llm.shared import slices, text_or_empty, written
 
 GRAM = 8
 FILTER_BITS = 20
-SCHEMA = "doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
+SCHEMA = "row long, doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 
 class WinnowIndex:
@@ -163,12 +163,13 @@ def _match(index: WinnowIndex):
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
+                        part.column("row"),
                         part.column("doc_id"),
                         pa.array(counts, pa.int64()),
-                        pa.array([[{"a": a, "b": b} for a, b in spans.get(i, ())] for i in range(n)], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-                        pa.array([[index.ids[j] for j in sorted(items.get(i, ()))] for i in range(n)], pa.list_(pa.string())),
+                        pa.array([[{"a": a, "b": b} for a, b in dict.fromkeys(spans.get(i, ()))] for i in range(n)], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
+                        pa.array([list(dict.fromkeys(index.ids[j] for j in sorted(items.get(i, ())))) for i in range(n)], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "n_words", "spans", "items"],
+                    names=["row", "doc_id", "n_words", "spans", "items"],
                 )
 
     return run
@@ -177,10 +178,12 @@ def _match(index: WinnowIndex):
 def contamination_spans(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 13, block_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, n_words, spans, items): the word spans [a, b) of each document
     inside benchmark windows, and the ids of the items they come from."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), text_or_empty(item_text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
+    if blocks > 1:
+        docs = written(docs, "texts")
     parts = []
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
@@ -188,13 +191,14 @@ def contamination_spans(docs: DataFrame, benchmark: DataFrame, *, doc_id: str =
         index = WinnowIndex(block["id"].to_pylist(), block["text"].to_pylist(), span)
         parts.append(docs.mapInArrow(_match(index), SCHEMA))
     if blocks == 1:
-        return parts[0]
+        return parts[0].drop("row")
     every = parts[0]
     for part in parts[1:]:
         every = every.unionAll(part)
-    return every.groupBy("doc_id", "n_words").agg(
-        F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    merged = every.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
     )
+    return merged.drop("row")
 
 
 def covered(spans: str = "spans"):

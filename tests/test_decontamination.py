@@ -1,0 +1,25 @@
+from rulespark.llm.decontamination import decontaminate
+
+
+def test_same_rows_for_one_block_and_for_several(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    leak, clean = words("leak", 20), words("clean", 20)
+    docs = spark.createDataFrame(
+        [(1, leak), (1, clean), (2, clean), (2, clean), (None, leak), (None, clean), (3, None), (4, f"{leak} {words('other', 20)}")], "doc_id long, text string"
+    )
+    benchmark = spark.createDataFrame([(7, leak), (7, words("leak", 15)), (8, words("other", 16)), (9, "")], "item_id long, text string")
+    runs = []
+    for block_bytes in (1 << 20, 64):
+        found = decontaminate(docs, benchmark, block_bytes=block_bytes).collect()
+        runs.append(sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_hit, r["items"], r.contaminated) for r in found))
+    assert runs[0] == [
+        (False, 1, 20, 0, [], False),
+        (False, 1, 20, 20, ["7"], True),
+        (False, 2, 20, 0, [], False),
+        (False, 2, 20, 0, [], False),
+        (False, 3, 0, 0, [], False),
+        (False, 4, 40, 36, ["7", "8"], True),
+        (True, 0, 20, 0, [], False),
+        (True, 0, 20, 20, ["7"], True),
+    ]
+    assert runs[1] == runs[0]
