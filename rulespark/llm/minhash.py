@@ -1,7 +1,8 @@
 """MinHash near-duplicate detection.
 
 Every document's set of shingles gets ``bands * rows`` universal hash minima.
-Documents with equal sets are one class, stood for by its smallest id. Classes
+Rows with equal sets are one class, stood for by one of its rows; the classes
+of one id are linked from the start. Classes
 that agree in all minima of a band share a bucket; each bucket links its
 members to one pivot, never to one another. Pairs pass the signature test (the
 share of equal minima) and are then confirmed on the full shingle sets;
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ from rulespark.llm import textscan as ts
 from rulespark.llm.shared import arrow_path, shared_folder, slices, text_or_empty, written
 
 BANDS, ROWS = 40, 6
-FEATURES = "doc_id long, file string, n_shingles long, digest binary, bands array<long>, signature binary"
+FEATURES = "row long, doc_id long, file string, n_shingles long, digest binary, bands array<long>, signature binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -96,6 +98,7 @@ def _features(size: int, bands: int, rows: int):
                 keys = band_keys(minima, bands, rows)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        part.column("row"),
                         part.column("doc_id"),
                         part.column("file"),
                         pa.array([len(s) for s in sets], pa.int64()),
@@ -103,20 +106,20 @@ def _features(size: int, bands: int, rows: int):
                         pa.array([k.tolist() if len(s) else [] for k, s in zip(keys, sets)], pa.list_(pa.int64())),
                         pa.array([m.astype(np.uint8).tobytes() for m in minima], pa.binary()),
                     ],
-                    names=["doc_id", "file", "n_shingles", "digest", "bands", "signature"],
+                    names=["row", "doc_id", "file", "n_shingles", "digest", "bands", "signature"],
                 )
 
     return run
 
 
 def _fetch(key: tuple, table: pa.Table) -> pa.Table:
-    """The texts of the wanted ids, out of the one file that holds them."""
+    """The texts of the wanted rows, out of the one file that holds them."""
     import pyarrow.parquet as pq
 
     system, path = arrow_path(key[0].as_py())
-    have = pq.read_table(path, filesystem=system, columns=["doc_id", "text"])
-    have = have.filter(pa.compute.is_in(have["doc_id"], value_set=table["doc_id"].combine_chunks()))
-    return pa.table({"id": have["doc_id"], "body": have["text"].cast(pa.string()).combine_chunks()}, schema=pa.schema([("id", pa.int64()), ("body", pa.string())]))
+    have = pq.read_table(path, filesystem=system, columns=["row", "text"])
+    have = have.filter(pa.compute.is_in(have["row"], value_set=table["row"].combine_chunks()))
+    return pa.table({"id": have["row"], "body": have["text"].cast(pa.string()).combine_chunks()}, schema=pa.schema([("id", pa.int64()), ("body", pa.string())]))
 
 
 def _confirm(size: int, numerator: int, denominator: int):
@@ -184,19 +187,21 @@ class _Job:
     def __init__(self, docs: DataFrame, size: int, numerator: int, denominator: int, bands: int, rows: int):
         self.spark: SparkSession = docs.sparkSession
         self.size, self.numerator, self.denominator = size, numerator, denominator
-        store = written(docs, "texts").select("doc_id", "text", F.col("_metadata.file_path").alias("file"))
+        store = written(docs.withColumn("row", F.monotonically_increasing_id()), "texts").select("row", "doc_id", "text", F.col("_metadata.file_path").alias("file"))
         features = written(store.mapInArrow(_features(size, bands, rows), FEATURES), "features")
-        least = features.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-        self.documents = written(
-            features.select("doc_id", "n_shingles", "digest").join(least, "digest", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id")), "classes"
-        )
-        classes = features.join(least.select(F.col("class_id").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
-        keys = classes.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+        linked = features.where("n_shingles > 0 and doc_id is not null")
+        least = linked.groupBy("digest").agg(F.min("row").alias("class_id"))
+        self.documents = features.select("doc_id", "n_shingles")
+        self.members = written(linked.select("doc_id", "digest").join(least, "digest").select("doc_id", "class_id").distinct(), "classes")
+        classes = features.join(least.select(F.col("class_id").alias("row")), "row", "left_semi")
+        keys = classes.select(F.col("row").alias("id"), F.posexplode("bands").alias("band", "key"))
         buckets = keys.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("members")).where("members > 1")
         self.buckets = written(keys.join(buckets, ["band", "key"]), "buckets")
-        used = self.buckets.select(F.col("id").alias("doc_id")).distinct()
-        self.classes = written(classes.join(used, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "file", "n_shingles", "signature"), "signatures")
-        self.links: DataFrame | None = None
+        used = self.buckets.select(F.col("id").alias("row")).distinct()
+        self.classes = written(classes.join(used, "row", "left_semi").select(F.col("row").alias("id"), "file", "n_shingles", "signature"), "signatures")
+        # all classes of one id are one node
+        least_class = self.members.groupBy("doc_id").agg(F.min("class_id").alias("a"))
+        self.links = written(self.members.join(least_class, "doc_id").where("a <> class_id").select("a", F.col("class_id").alias("b")), "links")
         self.components: DataFrame | None = None
 
     def candidates(self, pairs: DataFrame) -> DataFrame:
@@ -209,12 +214,12 @@ class _Job:
     def confirm(self, pairs: DataFrame) -> None:
         """Add those of ``pairs`` that hold on the full sets to the links."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = self.classes.join(ids, "id", "left_semi").select(F.col("id").alias("doc_id"), "file")
+        wanted = self.classes.join(ids, "id", "left_semi").select(F.col("id").alias("row"), "file")
         texts = written(wanted.groupBy("file").applyInArrow(_fetch, "id long, body string"), "bodies")
         side = lambda x: texts.select(F.col("id").alias(x), F.col("body").alias(f"text_{x}"))
         found = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_confirm(self.size, self.numerator, self.denominator), "a long, b long")
         found = written(found, "links")
-        self.links = found if self.links is None else self.links.unionAll(found)
+        self.links = self.links.unionAll(found)
         self.components = written(connected_components(self.links), "components")
 
     def apart(self, pairs: DataFrame) -> DataFrame:
@@ -229,8 +234,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     kept (whether the id is its own component's).
 
     Null and empty texts, and those without words, have no shingles and no
-    links. Rows with equal ids are merged to one node of the links but all
-    returned. ``similarity`` is a fraction, so that its test is exact.
+    links. Rows with equal ids are merged to one node of the links, whatever
+    their texts, but all returned. Rows with null ids have no links and no
+    component and are kept. ``similarity`` is a fraction, so that its test is exact.
     """
     numerator, denominator = similarity
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
@@ -253,6 +259,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     crossing = written(job.candidates(crossing).join(stars, ["a", "b"], "left_anti"), "crossing")
     if not crossing.isEmpty():
         job.confirm(crossing)
-    result = job.documents.join(job.components.withColumnRenamed("id", "class_id"), "class_id", "left")
-    component = F.coalesce("component_id", "class_id")
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    root = F.coalesce("component_id", "class_id").alias("root")
+    nodes = job.members.join(job.components.withColumnRenamed("id", "class_id"), "class_id", "left").select("doc_id", root).distinct()
+    smallest = nodes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    nodes = nodes.join(smallest, "root").select("doc_id", "component_id")
+    component = F.coalesce("component_id", "doc_id")
+    result = job.documents.join(nodes, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    return result.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
