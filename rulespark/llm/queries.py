@@ -9,13 +9,38 @@ from pyspark.sql import functions as F
 
 from rulespark.llm.decontamination import decontaminate
 from rulespark.llm.minhash import near_duplicates
+from rulespark.llm.packing import pack
+from rulespark.llm.sharding import shard
 from rulespark.llm.suffix_dedup import without_repeats
+from rulespark.llm.tokens import token_counts
+from rulespark.llm.topk import top_k
+
+TOKEN_LIMIT = 1024
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), kind="byte")
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), kind="word", window=2048, end_id=1)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """items_sha256: of the sorted ids of the items, joined by commas."""
     found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -24,9 +49,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts stay together; the law is that of near equal bytes."""
+    placed = shard(_table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeats(_table(spark, sf_dir, "documents"), length=50)
-    return kept.select("doc_id", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    n_bytes = (F.octet_length("kept") + F.col("n_removed")).cast("long").alias("n_bytes")
+    return kept.select("doc_id", n_bytes, "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +66,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pivot_top_k": op1_pivot_top_k,
+    "op2_token_counts": op2_token_counts,
+    "op3_packing": op3_packing,
     "op5_decontamination": op5_decontamination,
+    "op7_sharding": op7_sharding,
     "op8_repeated_strings": op8_repeated_strings,
     "op9_near_duplicates": op9_near_duplicates,
 }

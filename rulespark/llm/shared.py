@@ -23,6 +23,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         kept = getattr(spark, "_llm_folder", None)
         if kept is None:
             kept = spark._llm_folder = tempfile.mkdtemp(prefix="llm-")
