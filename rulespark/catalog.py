@@ -1,4 +1,3 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from rulespark.queries import ORACLE_SQL, QUERIES, aggregates, functions, incremental, recursion, relational, sqlviews  # noqa: F401
