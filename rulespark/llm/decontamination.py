@@ -8,9 +8,11 @@ fingerprints and extending each hit in both directions finds every shared
 span. Items of fewer than ``span`` words count as one window each and are
 looked up by the hash of all their words.
 
-The benchmark side is held in memory block by block: a block has at most
+The benchmark side is held in memory block by block: a block has about
 ``block_bytes`` of item text, whatever the size of the table, and every block
-is matched against all documents. One block means one pass and no shuffle.
+is matched against all documents, one after the other. The join of the
+fingerprints is a look-up in the block's sorted hashes, so documents are not
+shuffled. A hit counts only where the words' bytes are equal.
 
 Nulls, empty texts and texts without words have no words: never contaminated,
 and as items they match nothing. Rows are never merged: with several blocks,
@@ -25,13 +27,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rulespark.llm import textscan as ts
 from rulespark.llm.shared import slices, text_or_empty, written
 
 GRAM = 8
 FILTER_BITS = 20
-SCHEMA = "row long, doc_id long, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
 
 
 class WinnowIndex:
@@ -42,7 +44,8 @@ class WinnowIndex:
         if self.window < 1:
             raise ValueError("span must be at least the k-gram length")
         data, offsets = ts.flat(pa.array(texts, pa.large_string()))
-        hashes, _, first = ts.words(ts.LOWER[data], offsets, ts.WORD_ALNUM)
+        self.data = ts.LOWER[data]
+        hashes, self.starts, self.ends, first = ts.words_and_ends(self.data, offsets, ts.WORD_ALNUM)
         self.ids, self.words, self.first = ids, hashes, first
         counts = np.diff(first)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -75,8 +78,16 @@ class WinnowIndex:
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, dict[int, list], dict[int, set]]:
         """(words of each row, row -> hit spans of words, row -> items)."""
-        hashes, _, first = ts.words(ts.LOWER[data], offsets, ts.WORD_ALNUM)
+        data = ts.LOWER[data]
+        hashes, starts, ends, first = ts.words_and_ends(data, offsets, ts.WORD_ALNUM)
         counts = np.diff(first)
+
+        def same(p: int, q: int, n: int) -> bool:
+            """Whether n words from p and from the benchmark's q on are equal in
+            their bytes, and not only in their hashes."""
+            ours = [data[a:b].tobytes() for a, b in zip(starts[p : p + n].tolist(), ends[p : p + n].tolist())]
+            return ours == [self.data[a:b].tobytes() for a, b in zip(self.starts[q : q + n].tolist(), self.ends[q : q + n].tolist())]
+
         spans: dict[int, list[tuple[int, int]]] = {}
         items: dict[int, set[int]] = {}
         if not len(hashes) or not self.tables:
@@ -97,7 +108,7 @@ class WinnowIndex:
             item_rows = ts.row_of(ours, self.first)
             if key < 0:
                 for p, q, row, item in zip(at.tolist(), ours.tolist(), rows.tolist(), item_rows.tolist()):
-                    if np.array_equal(hashes[p : p + n], self.words[q : q + n]):
+                    if np.array_equal(hashes[p : p + n], self.words[q : q + n]) and same(p, q, n):
                         spans.setdefault(row, []).append((p - first[row], p - first[row] + n))
                         items.setdefault(row, set()).add(item)
                 continue
@@ -111,8 +122,14 @@ class WinnowIndex:
                 left = _equal(hashes[p - back : p][::-1], self.words[q - back : q][::-1])
                 right = _equal(hashes[p : p + ahead], self.words[q : q + ahead])
                 reached[diagonal] = p + max(right, 1)
-                if left + right >= self.span:
-                    spans.setdefault(row, []).append((p - left - first[row], p + right - first[row]))
+                if left + right < self.span:
+                    continue
+                if same(p - left, q - left, left + right):
+                    pieces = [(p - left, p + right)]
+                else:  # some hashes lie: only the windows that are equal in full
+                    pieces = [(p - left + t, p - left + t + self.span) for t in range(left + right - self.span + 1) if same(p - left + t, q - left + t, self.span)]
+                for a, b in pieces:
+                    spans.setdefault(row, []).append((a - first[row], b - first[row]))
                     items.setdefault(row, set()).add(item)
         return counts, spans, items
 
@@ -155,21 +172,20 @@ def selected(grams: np.ndarray, first: np.ndarray, k: int, window: int) -> np.nd
     return np.flatnonzero(chosen)
 
 
-def _match(index: WinnowIndex):
+def _match(index: WinnowIndex, passed: list[str], text: str = "text"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                counts, spans, items = index.scan(*ts.flat(part.column("text")))
+            for part in slices(batch, text):
+                counts, spans, items = index.scan(*ts.flat(part.column(text)))
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("row"),
-                        part.column("doc_id"),
+                        *(part.column(c) for c in passed),
                         pa.array(counts, pa.int64()),
                         pa.array([[{"a": a, "b": b} for a, b in dict.fromkeys(spans.get(i, ()))] for i in range(n)], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
                         pa.array([list(dict.fromkeys(index.ids[j] for j in sorted(items.get(i, ())))) for i in range(n)], pa.list_(pa.string())),
                     ],
-                    names=["row", "doc_id", "n_words", "spans", "items"],
+                    names=[*passed, "n_words", "spans", "items"],
                 )
 
     return run
@@ -178,27 +194,41 @@ def _match(index: WinnowIndex):
 def contamination_spans(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 13, block_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, n_words, spans, items): the word spans [a, b) of each document
     inside benchmark windows, and the ids of the items they come from."""
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
+    return marked(rows, benchmark, item_id=item_id, item_text=item_text, span=span, block_bytes=block_bytes).drop("text")
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = 13, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows with all their columns and n_words, spans and items."""
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), text_or_empty(item_text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
+    found = "n_words long, spans array<struct<a:int,b:int>>, items array<string>"
+    every = None
     if blocks > 1:
-        docs = written(docs, "texts")
-    parts = []
+        docs = written(docs.withColumn("_row", F.monotonically_increasing_id()), "texts")
     for b in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b)
         block = block.toArrow()
         index = WinnowIndex(block["id"].to_pylist(), block["text"].to_pylist(), span)
-        parts.append(docs.mapInArrow(_match(index), SCHEMA))
-    if blocks == 1:
-        return parts[0].drop("row")
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionAll(part)
-    merged = every.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+        if blocks == 1:
+            schema = StructType([*docs.schema, *StructType.fromDDL(found)])
+            return docs.mapInArrow(_match(index, docs.columns, text), schema)
+        part = docs.select("_row", text).mapInArrow(_match(index, ["_row"], text), f"_row long, {found}")
+        # written block by block, so that one index is alive at a time; rows without hits count once
+        part = written(part if b == 0 else part.where("size(spans) > 0"), "hits")
+        every = part if every is None else every.unionAll(part)
+    merged = every.groupBy("_row").agg(
+        F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
     )
-    return merged.drop("row")
+    return docs.join(merged, "_row").drop("_row")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", part: int = 20, **options) -> DataFrame:
+    """The rows, with all their columns, that are not contaminated."""
+    found = marked(docs, benchmark, text=text, **options)
+    n_hit = covered()
+    return found.where(~((n_hit > 0) & (part * n_hit >= F.col("n_words")))).select(docs.columns)
 
 
 def covered(spans: str = "spans"):

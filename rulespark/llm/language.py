@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from rulespark.llm.shared import crc_bucket, slices, text_or_empty, written
 
 ORDER = 4
-HASH_BITS = 22
+HASH_BITS = 21
 BLANK = ord(" ")
 FLUSH = 1 << 20
 U = np.uint64
@@ -220,11 +220,10 @@ class Model:
         rejected = none | (least > self.limit + self.spread / np.sqrt(np.maximum(n, 1)))
         return ["und" if x else self.languages[b] for x, b in zip(none, best)], score, least, rejected
 
-    def calibrate(self, texts: list[str], langs: list[str]) -> None:
-        """Set the limit of the cross-entropy and the slope of the score."""
-        self.limit, self.spread, self.slope = np.inf, 0.0, 1.0
-        h, n = self.cross_entropies(texts)
-        use = np.array([x in self.languages for x in langs]) & (n > 0)
+    def calibrate(self, h: np.ndarray, n: np.ndarray, langs: list[str]) -> None:
+        """Set the limit of the cross-entropy and the slope of the score, from
+        the cross-entropies, letters and languages of labelled texts."""
+        use = np.array([x in self.languages for x in langs], dtype=bool) & (n > 0)
         if not use.any() or len(self.languages) < 2:
             return
         h, n = h[use], n[use]
@@ -313,11 +312,27 @@ def train(rows: DataFrame, *, calibration_rows: int = 2000) -> Model:
     # rows of grams known in one language only: fill the others from the lower orders
     for i in range(len(tables) - 1, -1, -1):
         _fill(model, i, probabilities[i])
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(calibration_rows).select("text", "lang").toArrow()
-    model.calibrate(sample["text"].to_pylist(), sample["lang"].to_pylist())
+    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(calibration_rows)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+    # at most calibration_rows ids; only numbers of these rows come to the driver
+    sample = rows.join(F.broadcast(chosen), "id", "left_semi").select("text", "lang")
+    got = sample.mapInArrow(_measured(sent), "lang string, n long, h array<double>").toArrow()
+    if got.num_rows:
+        model.calibrate(np.array(got["h"].to_pylist()), got["n"].to_numpy(), got["lang"].to_pylist())
+    sent.destroy()
     return model
 
 
+def _measured(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                h, n = sent.value.cross_entropies(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(n, pa.int64()), pa.array(h.tolist(), pa.list_(pa.float64()))], names=["lang", "n", "h"])
+
+    return run
+
+
 def _fill(model: Model, i: int, known: DataFrame) -> None:
     """Where a language lacks a gram that another has, its weight of the context
     times the next shorter gram's probability."""
@@ -354,6 +369,24 @@ def _predicted(sent):
     return run
 
 
+def _kept(sent, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            for part in slices(batch, text):
+                rejected = model.predict([t or "" for t in part.column(text).to_pylist()])[3]
+                yield part.filter(pa.array(~rejected))
+
+    return run
+
+
+def without_rejected(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", part: int = 2, of: int = 4, calibration_rows: int = 2000) -> DataFrame:
+    """The rows, with all their columns, that a model learned from them accepts."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    model = train(rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id", part, of)), calibration_rows=calibration_rows)
+    return docs.mapInArrow(_kept(docs.sparkSession.sparkContext.broadcast(model), text), docs.schema)
+
+
 def held_out(doc_id: str, part: int = 2, of: int = 4) -> Column:
     """Whether crc32 of the id as text leaves ``part``; false for null ids."""
     return F.coalesce(crc_bucket(doc_id, of) == part, F.lit(False))

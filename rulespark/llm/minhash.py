@@ -19,6 +19,7 @@ A pair of similarity 0.8 shares no band with probability
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -250,12 +251,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rest = written(job.apart(stars), "rest")
     if not rest.isEmpty():
         job.confirm(rest)
-    # what no star decided: members of one bucket in different components
+    # what no star decided: members of one bucket in different components. Each
+    # pair of components of a bucket brings its members together, those of sizes
+    # that allow a link; no two members of one component meet
     labelled = job.buckets.where("members > 2").join(job.components, "id", "left").select("band", "key", "id", "low", "high", F.coalesce("component_id", "id").alias("c"))
     mixed = labelled.groupBy("band", "key").agg(F.min("c").alias("c_low"), F.max("c").alias("c_high")).where("c_low <> c_high").select("band", "key")
-    labelled = written(labelled.join(mixed, ["band", "key"]).where("id <> low and id <> high"), "mixed")
-    x, y = (labelled.select("band", "key", F.col("id").alias(i), F.col("c").alias(f"c_{i}")) for i in ("a", "b"))
-    crossing = x.join(y, ["band", "key"]).where("a < b and c_a <> c_b").select("a", "b").distinct()
+    labelled = labelled.join(mixed, ["band", "key"]).where("id <> low and id <> high")
+    ratio = F.lit(1.0001 * math.log(denominator / numerator) if numerator < denominator else 1.0)
+    labelled = written(labelled.join(job.classes.select("id", F.floor(F.log("n_shingles") / ratio).alias("size")), "id").select("band", "key", "id", "c", "size"), "mixed")
+    parts = labelled.select("band", "key", "c").distinct()
+    others = parts.withColumnRenamed("c", "c_b")
+    meet = parts.withColumnRenamed("c", "c_a").join(others, ["band", "key"]).where("c_a < c_b")
+    left = labelled.select("band", "key", F.col("id").alias("a"), F.col("c").alias("c_a"), "size")
+    right = labelled.select("band", "key", F.col("id").alias("b"), F.col("c").alias("c_b"), F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"))
+    crossing = meet.join(left, ["band", "key", "c_a"]).join(right, ["band", "key", "c_b", "size"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     crossing = written(job.candidates(crossing).join(stars, ["a", "b"], "left_anti"), "crossing")
     if not crossing.isEmpty():
         job.confirm(crossing)
@@ -266,3 +275,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     component = F.coalesce("component_id", "doc_id")
     result = job.documents.join(nodes, "doc_id", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows, with all their columns, whose id is the smallest of its group,
+    and those without an id. Rows of one id stay or go together."""
+    found = near_duplicates(docs, doc_id=doc_id, **options)
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")

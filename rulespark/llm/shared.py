@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.compute
@@ -29,7 +31,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if kept is None:
             kept = spark._llm_folder = tempfile.mkdtemp(prefix="llm-")
         base = "file://" + kept
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _collecting:
+        made.append(path)
+    return path
+
+
+_collecting: list[list[str]] = []
+
+
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The folders that are made inside, for who knows when they are read no more."""
+    made: list[str] = []
+    _collecting.append(made)
+    try:
+        yield made
+    finally:
+        _collecting.pop()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -40,11 +59,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by ``shared_folder``."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders made by ``shared_folder``."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_or_empty(column: str = "text") -> Column:
@@ -76,7 +95,9 @@ def arrow_path(uri: str):
     from pyarrow import fs
 
     if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+        return fs.LocalFileSystem(), "/" + unquote(uri[5:]).lstrip("/")
+    if uri.startswith(("s3a://", "s3n://")):
+        return fs.FileSystem.from_uri("s3" + unquote(uri[3:]))
     if "://" not in uri:
         return fs.LocalFileSystem(), os.path.abspath(uri)
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(unquote(uri))

@@ -31,6 +31,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import StructType
 
 from rulespark.llm import textscan as ts
 from rulespark.llm.shared import arrow_path, text_or_empty, written
@@ -331,10 +333,10 @@ def _removed(ids: np.ndarray, texts: pa.Array, taken: np.ndarray, some: np.ndarr
     return row[new], start[new], reach[last] - row[last] * far
 
 
-RESULT = pa.schema([("doc_id", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+RESULT = StructType().add("doc_id", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
 
 
-def _step_3(length: int, gram: int):
+def _step_3(length: int, gram: int, carry: list[str], result: pa.Schema):
     def remove(key: tuple, table: pa.Table) -> pa.Table:
         """All rows of a file, without the bytes that others or it found."""
         import pyarrow.parquet as pq
@@ -348,7 +350,7 @@ def _step_3(length: int, gram: int):
         n_removed = np.zeros(len(ids), dtype=np.int64)
         np.add.at(n_removed, row, end - start)
         system, path = arrow_path(file)
-        own = pq.read_table(path, filesystem=system, columns=["doc_id"])["doc_id"].combine_chunks()
+        own = pq.read_table(path, filesystem=system, columns=["doc_id", *carry]).combine_chunks()
         out = []
         for low in range(0, len(ids), ROWS_OUT):
             high = min(low + ROWS_OUT, len(ids))
@@ -359,20 +361,21 @@ def _step_3(length: int, gram: int):
                     froms, tos = [0, *end[cut].tolist()], [*start[cut].tolist(), len(body)]
                     body = b"".join(body[x:y] for x, y in zip(froms, tos))
                 kept.append(body)
-            columns = [own.slice(low, high - low), pa.array(n_removed[low:high]), pa.array(n_spans[low:high]), pa.array(kept, pa.binary())]
-            out.append(pa.RecordBatch.from_arrays(columns, schema=RESULT))
-        return pa.Table.from_batches(out, RESULT)
+            here = own.slice(low, high - low)
+            columns = [here["doc_id"].combine_chunks(), pa.array(n_removed[low:high]), pa.array(n_spans[low:high]), pa.array(kept, pa.binary()), *(here[c].combine_chunks().cast(result.field(c).type) for c in carry)]
+            out.append(pa.RecordBatch.from_arrays(columns, schema=result))
+        return pa.Table.from_batches(out, result)
 
     return remove
 
 
-def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 50, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_removed (bytes), n_spans (runs of removed bytes) and kept (the
-    bytes that are left) of every row."""
+def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 50, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_removed (bytes), n_spans (runs of removed bytes), kept (the
+    bytes that are left) and the columns ``carry`` of every row."""
     if not 1 <= length - gram + 1 <= 64:
         raise ValueError("a string must have 1 to 64 anchor windows")
     spark = docs.sparkSession
-    store = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")), "texts")
+    store = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"), *carry), "texts")
     total = store.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # two anchors of 24 bytes in each length - gram + 2 bytes
     buckets = max(1, -(-total * 2 * VARIANT.itemsize // (length - gram + 2) // BUCKET_BYTES))
@@ -385,4 +388,5 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     some = bodies.groupBy("bucket").applyInArrow(_step_2_owners(length), message)
     every = files.select("file", F.lit("none").alias("kind"), F.lit(b"").alias("rows"))
     messages = found.where("kind = 'all'").unionAll(some).unionAll(every)
-    return messages.groupBy("file").applyInArrow(_step_3(length, gram), "doc_id long, n_removed long, n_spans long, kept binary")
+    result = to_arrow_schema(StructType([*RESULT, *(docs.schema[c] for c in carry)]))
+    return messages.groupBy("file").applyInArrow(_step_3(length, gram, list(carry), result), from_arrow_schema(result))

@@ -79,9 +79,15 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, start of each word, first word of each row as n + 1
     offsets). ``data`` must be lower-cased; ``kind`` marks the word bytes."""
+    hashes, starts, _, first = words_and_ends(data, offsets, kind)
+    return hashes, starts, first
+
+
+def words_and_ends(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words``, with the end of each word after its start."""
     starts, ends = runs(kind[data], offsets)
     hashes = span_hashes(data, starts, ends, BASE, BASE_INVERSE)
-    return hashes, starts, np.searchsorted(starts, offsets)
+    return hashes, starts, ends, np.searchsorted(starts, offsets)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int, inverse: int) -> np.ndarray:
