@@ -132,7 +132,7 @@ def wrap(x, kind: str) -> Column:
     bits = WIDTHS[kind]
     if kind == "s64":
         return col(x).cast("long")
-    low = F.pmod(col(x).cast("decimal(38,0)"), F.lit(2**bits).cast("decimal(38,0)"))
+    low = F.pmod(col(x).cast("decimal(38,0)"), F.lit(str(2**bits)).cast("decimal(38,0)"))
     if kind[0] == "s":
         low = F.when(low >= 2 ** (bits - 1), low - 2**bits).otherwise(low)
     return low.cast("decimal(20,0)" if kind == "u64" else "long")
@@ -224,7 +224,7 @@ def hex(x) -> Column:
 def parse_dec_u64(s) -> Column:
     text = F.regexp_replace(col(s), r"^\+", "")
     number = text.try_cast("decimal(38,0)")
-    return F.when(text.rlike(r"^[0-9]+$") & (number < F.lit(2**64).cast("decimal(38,0)")), number.cast("decimal(20,0)"))
+    return F.when(text.rlike(r"^[0-9]+$") & (number < F.lit(str(2**64)).cast("decimal(38,0)")), number.cast("decimal(20,0)"))
 
 
 def parse_dec_i64(s) -> Column:

@@ -539,7 +539,7 @@ class Program:
         relation = self.relations[first.relation]
         known = relation.kind == "set" and (not relation.is_input or relation.key)
         needed = relation.key or relation.columns
-        return bool(known) and all(isinstance(first.patterns.get(c), (Lit, int, float)) or first.patterns.get(c) in plain for c in needed)
+        return bool(known) and all(isinstance(p := first.patterns.get(c), (Lit, int, float)) or isinstance(p, str) and p in plain for c in needed)
 
 
 def _components(graph: dict[str, list[str]]) -> list[list[str]]:

@@ -27,7 +27,13 @@ class UpdateError(ValueError):
 
 
 def _same(a: DataFrame, b: DataFrame, columns: Iterable[str]) -> Column:
-    return reduce(Column.__and__, (a[c].eqNullSafe(b[c]) for c in columns))
+    """Equality of columns; maps are compared as their sorted entries."""
+    value = lambda df, c: F.array_sort(F.map_entries(df[c])) if isinstance(df.schema[c].dataType, T.MapType) else df[c]
+    return reduce(Column.__and__, (value(a, c).eqNullSafe(value(b, c)) for c in columns))
+
+
+def _without(keys: list) -> Callable[[Column, Column], Column]:
+    return lambda k, _: ~k.isin(keys)
 
 
 class Session:
@@ -187,7 +193,7 @@ class Session:
                 other = F.array(*map(F.lit, sorted(value))).cast(kind)
                 new = F.array_sort(F.array_union(F.array_except(old, other), F.array_except(other, old)))
             elif isinstance(kind, T.MapType):
-                new = F.map_filter(old, lambda k, _, value=value: ~k.isin(list(value)))
+                new = F.map_filter(old, _without(list(value)))
                 for k, v in value.items():
                     if v is not None:
                         new = F.map_concat(new, F.create_map(F.lit(k), F.lit(v)).cast(kind))
@@ -288,7 +294,7 @@ class Session:
         return update
 
 
-TOKENS = re.compile(r'\s+|#[^\n]*|"(?:[^"\\]|\\.)*"|-?\d+\.\d+|-?\d+|<-|[A-Za-z_][\w.:]*|[()\[\]{},;=+%@]')
+TOKENS = re.compile(r'\s+|#[^\n]*|"(?:[^"\\]|\\.)*"|-?\d+\.\d+|-?\d+|<-|\.?[A-Za-z_][\w.:]*|[()\[\]{},;=+%@]')
 
 
 def _tokens(text: str) -> list[str]:
