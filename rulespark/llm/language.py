@@ -153,20 +153,25 @@ class Model:
     def __init__(self, languages: list[str], tables: list[tuple[np.ndarray, np.ndarray]], backoff: list[tuple[np.ndarray, np.ndarray]], floor: np.ndarray):
         self.languages, self.tables, self.backoff, self.floor = languages, tables, backoff, floor
         self.limit, self.slope, self.spread = np.inf, 1.0, 0.0
-        self._index: list[np.ndarray] | None = None
+        self._index: np.ndarray | None = None
 
     def __getstate__(self):
         return self.__dict__ | {"_index": None}
 
     def _rows(self, which: list, i: int, hashes: np.ndarray) -> np.ndarray:
-        """Row of each hash in a sorted array, through an index by hash, or -1."""
-        if self._index is None:
-            self._index = []
-            for keys, _ in [*self.tables, *self.backoff]:
-                index = np.full(1 << HASH_BITS, -1, np.int32)
-                index[keys] = np.arange(len(keys), dtype=np.int32)
-                self._index.append(index)
-        return self._index[i + (len(self.tables) if which is self.backoff else 0)][hashes]
+        """Row of each hash in a sorted array, or -1. The first table, which
+        every character is looked up in, has an index by hash; the others, for
+        what it does not know, are searched."""
+        keys = which[i][0]
+        if which is self.tables and i == 0:
+            if self._index is None:
+                self._index = np.full(1 << HASH_BITS, -1, np.int32)
+                self._index[keys] = np.arange(len(keys), dtype=np.int32)
+            return self._index[hashes]
+        if not len(keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+        return np.where(keys[at] == hashes, at, -1)
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         """(keys, languages): the longest known gram's, with the weights of the
