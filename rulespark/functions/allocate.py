@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulespark.functions.std import col, python_function
+from rulespark.storage import stored
 
 
 def _free(taken, low: int, high: int) -> Column:
@@ -57,12 +58,19 @@ def adjust_allocation(allocated, wanting, low: int, high: int) -> Column:
     return F.concat(kept, allocate(F.transform(kept, lambda s: s["number"]), fresh, low, high))
 
 
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with ``name``: 1, 2, ... in the order of ``key``. Rows are sorted
+    in ranges that are stored, and each range counts on from those before it."""
+    ranges = stored(df.repartitionByRange(F.col(key)).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    # one row for each range
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    return ranges.withColumn("__local", local).join(counts.select("__range", before.alias("__before")), "__range").select(*df.columns, (F.col("__local") + F.col("__before")).cast("long").alias(name))
+
+
 def allocate_relation(wanting: DataFrame, taken: DataFrame, name: str, low: int, high: int) -> DataFrame:
     """``wanting`` with a column ``name``: the free numbers in the order of its
-    first column. taken: one column of numbers. The range is known to be small
-    enough for one sorted window."""
-    spark = wanting.sparkSession
-    free = spark.range(low, high + 1).toDF("number").join(taken.toDF("number"), "number", "left_anti")
-    free = free.withColumn("i", F.row_number().over(Window.orderBy("number")))
-    ranked = wanting.withColumn("i", F.row_number().over(Window.orderBy(wanting.columns[0])))
-    return ranked.join(free, "i").select(*wanting.columns, F.col("number").alias(name))
+    first column, as far as they go. taken: one column of numbers."""
+    free = wanting.sparkSession.range(low, high + 1).toDF("number").join(taken.toDF("number"), "number", "left_anti")
+    return numbered(wanting, wanting.columns[0], "__i").join(numbered(free, "number", "__i"), "__i").select(*wanting.columns, F.col("number").alias(name))

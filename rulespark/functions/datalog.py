@@ -119,3 +119,5 @@ def group_sum(x) -> Column:
 
 
 group_sum_u = group_sum_d = group_sum
+for _n in ("count32", "max", "min", "mean", "mean_d", "sum", "sum_u", "sum_d"):
+    globals()["souffle_group_" + _n] = globals()["group_" + _n]

@@ -264,3 +264,14 @@ def tz_datetime_parse_from_rfc2822(s) -> Column:
 
 
 tz_datetime_parse = tz_datetime_parse_from_rfc3339
+
+
+def format(x, form: str) -> Column:  # noqa: A001
+    """Of a date or an instant."""
+    return F.date_format(col(x), pattern(form))
+
+
+def time(t) -> Column:
+    """The time of day of an instant."""
+    t = col(t)
+    return try_from_hms_micro(F.hour(t), F.minute(t), F.second(t).cast("long"), F.pmod(F.unix_micros(t.cast("timestamp")), F.lit(1_000_000)))

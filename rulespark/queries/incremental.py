@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulespark.datalog import convert
 from rulespark.queries import Tables, query
+from rulespark.queries.recursion import DAG, edges
+from rulespark.rules import Atom, Expr, GroupBy, Head, Not
+from rulespark.session import Session
+from rulespark.statements import For, If, Insert, rules
 from rulespark.zset import WEIGHT, Stream, ZSet, incremental_join
 
 
@@ -108,3 +113,67 @@ def q_incremental_join(t: Tables) -> DataFrame:
     nothing = ZSet.of(users.select("k").limit(0))
     changes = incremental_join(Stream(left, nothing), Stream(right, nothing), ["k"])
     return changes.integrate()[2].df.withColumnRenamed(WEIGHT, "weight")
+
+
+@query("""SELECT brand, n, CAST(1 AS BIGINT) AS weight FROM (SELECT p_brand AS brand, CAST(count(*) AS BIGINT) AS n FROM part WHERE p_partkey % 50 <> 1 GROUP BY 1 EXCEPT SELECT p_brand, CAST(count(*) AS BIGINT) FROM part WHERE p_partkey % 50 <> 0 GROUP BY 1)
+UNION ALL SELECT brand, n, CAST(-1 AS BIGINT) FROM (SELECT p_brand AS brand, CAST(count(*) AS BIGINT) AS n FROM part WHERE p_partkey % 50 <> 0 GROUP BY 1 EXCEPT SELECT p_brand, CAST(count(*) AS BIGINT) FROM part WHERE p_partkey % 50 <> 1 GROUP BY 1)""")
+def q_session_commit(t: Tables) -> DataFrame:
+    """The change of the second of two transactions."""
+
+    def build(p):
+        p.relation("brands", "brand", "n", output=True)
+        p.rule(Head("brands", brand="b", n="n"), Atom("part", k="k", brand="b"), GroupBy(("b",), {"n": "count(1)"}))
+
+    rows = t.part.select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("brand"))
+    s = Session(t.spark, {"part": ("k long, brand string", "set", ("k",))}, build)
+    s.start()
+    s.insert("part", rows.where("k % 50 <> 0"))
+    s.commit()
+    s.start()
+    s.insert("part", rows.where("k % 50 = 0"))
+    s.delete_key("part", rows.where("k % 50 = 1"))
+    return s.commit()["brands"].df.select("brand", "n", F.col(WEIGHT).alias("weight"))
+
+
+@query("SELECT p_partkey AS k, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS tag FROM part UNION SELECT p_partkey, 'brass' FROM part WHERE contains(p_type, 'BRASS')")
+def q_statements(t: Tables) -> DataFrame:
+    p = t.program("part")
+    p.relation("tag", "k", "tag")
+    rules(
+        p,
+        For(
+            Atom("part", p_partkey="k", p_size="s", p_type="t"),
+            If("s > 25", Insert("tag", k="k", tag=Expr("'large'")), Insert("tag", k="k", tag=Expr("'small'"))),
+            If("contains(t, 'BRASS')", Insert("tag", k="k", tag=Expr("'brass'"))),
+        ),
+    )
+    return p.result("tag")
+
+
+@query(f"WITH RECURSIVE {DAG}, path AS (SELECT a, b FROM dag UNION SELECT path.a, dag.b FROM path JOIN dag ON path.b = dag.a), node AS (SELECT a AS n FROM dag UNION SELECT b FROM dag) SELECT n AS x, CAST(count(b) AS BIGINT) AS n FROM node LEFT JOIN path ON a = node.n GROUP BY node.n")
+def q_datalog_text(t: Tables) -> DataFrame:
+    text = """
+    .decl edge(x: number, y: number)
+    .decl node(x: number)
+    .decl path(x: number, y: number)
+    .decl reach(x: number, n: number)
+    node(x) :- edge(x, _) ; edge(_, x).
+    path(x, y) :- edge(x, y).
+    path(x, z) :- path(x, y), edge(y, z).
+    reach(x, n) :- node(x), n = count : { path(x, y) }.
+    """
+    return convert(t.spark, text, {"edge": edges(t).where("a < b")}).result("reach")
+
+
+@query("SELECT c_custkey AS k, 'new' AS state FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 'gone' FROM customer WHERE c_custkey % 3 = 1")
+def q_rule_delay(t: Tables) -> DataFrame:
+    """A relation now and one transaction ago, in one rule each."""
+    keys = t.customer.select("c_custkey")
+    p = t.program(who=keys.where("c_custkey % 3 <> 1"))
+    p.past("who", [keys.where("c_custkey % 3 <> 0")])
+    p.relation("old", "k")
+    p.relation("state", "k", "state")
+    p.rule(Head("old", k="k"), Atom("who", c_custkey="k", delay=1))
+    p.rule(Head("state", k="k", state=Expr("'new'")), Atom("who", c_custkey="k"), Not("old", k="k"))
+    p.rule(Head("state", k="k", state=Expr("'gone'")), Atom("old", k="k"), Not("who", c_custkey="k"))
+    return p.result("state")

@@ -57,6 +57,13 @@ same("q_date_extract", "SELECT event_id AS id, CAST(extract(year FROM ts) AS INT
 same("q_array_contains_len", "SELECT p_partkey AS k, list_contains(string_split(p_type, ' '), 'BRASS') AS brass, CAST(len(string_split(p_type, ' ')) AS INTEGER) AS words FROM part", "SELECT p_partkey AS k, array_contains(split(p_type, ' '), 'BRASS') AS brass, size(split(p_type, ' ')) AS words FROM part")
 same("q_with", "WITH big AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1) SELECT CAST(max(n) AS BIGINT) AS most, CAST(count(*) AS BIGINT) AS customers FROM big")
 
+same("q_sql_window", "SELECT o_orderkey AS k, round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6) AS share, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders")
+same("q_sql_limit", "SELECT s_suppkey AS k, s_acctbal AS balance FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 7")
+same("q_sql_distinct", "SELECT DISTINCT o_orderstatus AS s, o_orderpriority AS p FROM orders")
+same("q_sql_set_agg", "SELECT c_mktsegment AS s, CAST(len(list_distinct(array_agg(c_nationkey))) AS INTEGER) AS n FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment AS s, size(collect_set(c_nationkey)) AS n FROM customer GROUP BY c_mktsegment")
+same("q_sql_subquery_from", "SELECT x.r AS r, CAST(sum(x.n) AS BIGINT) AS n FROM (SELECT n_regionkey AS r, count(*) AS n FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_regionkey, n_nationkey) x GROUP BY x.r")
+same("q_sql_exists", "SELECT n_name AS n FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000)")
+
 
 @query("SELECT c_mktsegment AS segment, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_acctbal > 0 AND c_nationkey < 10 GROUP BY c_mktsegment")
 def q_view_chain(t: Tables) -> DataFrame:

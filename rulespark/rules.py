@@ -301,6 +301,10 @@ class Program:
     def results(self) -> dict[str, DataFrame]:
         return {n: self.result(n) for n, r in self.relations.items() if r.output}
 
+    def every(self, mirror: str | None = None) -> dict[str, DataFrame]:
+        """All relations, for debugging; inputs under a prefix if one is given."""
+        return {(mirror or "") + n if r.is_input else n: self.result(n) for n, r in self.relations.items() if mirror is not None or not r.is_input}
+
     def lookup(self, index: str, *values) -> DataFrame:
         """The rows of an index with these key values."""
         for r in self.relations.values():

@@ -170,11 +170,11 @@ class Session:
     def delete_key(self, name: str, keys) -> None:
         staged, key = self._active(), self._keyed(name)
         schema = T.StructType([self.schema[name][k] for k in key])
-        gone = self.spark.createDataFrame([k if isinstance(k, (tuple, list)) else (k,) for k in keys], schema)
+        gone = keys.select(*key) if isinstance(keys, DataFrame) else self.spark.createDataFrame([k if isinstance(k, (tuple, list)) else (k,) for k in keys], schema)
         if not gone.join(staged[name], _same(gone, staged[name], key), "left_anti").isEmpty():
             raise UpdateError(f"{name}: no row with this key")
         staged[name] = staged[name].join(gone, _same(staged[name], gone, key), "left_anti")
-        self.log.append(("delete_key", name, list(keys)))
+        self.log.append(("delete_key", name, keys if isinstance(keys, DataFrame) else list(keys)))
 
     def modify(self, name: str, key, **fields) -> None:
         """Change fields of the row with this key: scalars and arrays are

@@ -323,3 +323,28 @@ class Circuit:
 
 def empty(spark: SparkSession, schema: str) -> ZSet:
     return ZSet.of(spark.createDataFrame([], schema))
+
+
+class Changes:
+    """Signed changes of several relations, summed as they come."""
+
+    def __init__(self, parts: dict[str, ZSet] | None = None):
+        self.parts = dict(parts or {})
+
+    def add(self, name: str, change: ZSet) -> None:
+        self.parts[name] = self.parts[name].add(change) if name in self.parts else change.consolidate()
+
+    def union(self, other: Changes) -> Changes:
+        out = Changes(self.parts)
+        for name, change in other.parts.items():
+            out.add(name, change)
+        return out
+
+    def get(self, name: str) -> ZSet | None:
+        return self.parts.get(name)
+
+    def clear(self, name: str | None = None) -> None:
+        if name is None:
+            self.parts.clear()
+        else:
+            self.parts.pop(name, None)

@@ -1,4 +1,4 @@
-from rulespark.zset import WEIGHT, Circuit, Delay, Derivative, Identity, Integral, Negate, Plus, Sink, Source, Stream, ZSet, delta0, fixpoint, incremental_join
+from rulespark.zset import WEIGHT, Changes, Circuit, Delay, Derivative, Identity, Integral, Negate, Plus, Sink, Source, Stream, ZSet, delta0, fixpoint, incremental_join
 
 
 def z(spark, *rows):
@@ -71,3 +71,12 @@ def test_bracket_sums_to_the_fixpoint():
     late.connect(c.add(Identity(half)))
     c.operators[-1].function = lambda x: x // 2
     assert c.bracket(source, 8, 0, half, lambda x: x == 0) == 15
+
+
+def test_changes_are_summed(spark):
+    a, b = Changes(), Changes({"r": z(spark, (1, "a", -1), (2, "b", 1))})
+    a.add("r", z(spark, (1, "a", 1)))
+    both = a.union(b)
+    assert plain(both.get("r")) == [(2, "b", 1)] and both.get("s") is None
+    both.clear("r")
+    assert both.get("r") is None and plain(a.get("r")) == [(1, "a", 1)]
