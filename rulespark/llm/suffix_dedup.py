@@ -41,6 +41,7 @@ GRAM = 25
 BLOCK = 3 << 19
 FLUSH = 1 << 21
 BUCKET_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 ROWS_OUT = 1000
 VARIANT = np.dtype([("gram", "<u8"), ("span", "<u8"), ("id", "<i8")])
 REQUEST = np.dtype([("gram", "<u8"), ("span", "<u8")])
@@ -128,33 +129,59 @@ def _read(uri: str) -> tuple[np.ndarray, pa.Array, pa.Array]:
     return pa.compute.fill_null(ids, 0).to_numpy(), searched, texts
 
 
+def _grouped(grams: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): an order by hash in which equal (gram, hash) are
+    neighbours, and where in it each group begins. What is equal in its hash
+    nearly always is in its anchor, so one key is sorted."""
+    order = np.argsort(hashes)
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    if (~new[1:] & (grams[order[1:]] != grams[order[:-1]])).any():  # equal hashes, other anchors
+        order = np.lexsort((grams, hashes))
+        new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (grams[order[1:]] != grams[order[:-1]])
+    return order, new
+
+
+def _least(values: np.ndarray, order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The smallest value of each group of ``_grouped``."""
+    return np.minimum.reduceat(values[order], np.flatnonzero(new)) if len(order) else values
+
+
 def _distinct(rows: np.ndarray) -> np.ndarray:
-    """One row for each (gram, span), with its smallest id."""
-    rows = rows[np.lexsort((rows["id"], rows["span"], rows["gram"]))]
-    new = np.ones(len(rows), dtype=bool)
-    new[1:] = (rows["gram"][1:] != rows["gram"][:-1]) | (rows["span"][1:] != rows["span"][:-1])
-    return rows[new]
+    """One row for each (gram, span), with its smallest id, by span."""
+    order, new = _grouped(rows["gram"], rows["span"])
+    out = rows[order[new]]
+    out["id"] = _least(rows["id"], order, new)
+    return out
+
+
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    return (grams % ts.U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
 
 
 def _scattered(rows: np.ndarray, buckets: int):
     """(bucket, rows) by the anchor hash."""
-    bucket = (rows["gram"] % ts.U(buckets)).astype(np.int64)
+    bucket = _bucket(rows["gram"], buckets)
     order = np.argsort(bucket, kind="stable")
-    rows, bucket = rows[order], bucket[order]
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    rows = rows[order]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
     for b in np.flatnonzero(np.diff(edges)).tolist():
         yield b, rows[edges[b] : edges[b + 1]]
 
 
 def _file_variants(file: str, length: int, gram: int) -> np.ndarray:
-    parts, held = [], 0
+    """The distinct anchors of a file. What is held is sorted again only when
+    it has doubled, so a file takes time in proportion to its size."""
+    parts, held, limit = [], 0, FLUSH
     for g, s, i, *_ in _scan(*_read(file)[:2], length, gram):
         rows = np.empty(len(g), VARIANT)
         rows["gram"], rows["span"], rows["id"] = g, s, i
-        parts.append(_distinct(rows))
+        parts.append(rows)
         held += len(g)
-        if held > FLUSH:
-            parts, held = [_distinct(np.concatenate(parts))], 0
+        if held > limit:
+            parts = [_distinct(np.concatenate(parts))]
+            held = len(parts[0])
+            limit = max(FLUSH, 2 * held)
     return _distinct(np.concatenate(parts)) if parts else np.empty(0, VARIANT)
 
 
@@ -162,12 +189,24 @@ def _step_1(buckets: int, length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file in batch.column("file").to_pylist():
+                numbers, parts, held = [], [], 0
                 for b, rows in _scattered(_file_variants(file, length, gram), buckets):
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([file]), pa.array([rows.tobytes()], pa.binary())], names=["bucket", "file", "rows"])
+                    numbers.append(b)
+                    parts.append(rows.tobytes())
+                    held += rows.nbytes
+                    if held > BATCH_BYTES:
+                        yield _variants(numbers, file, parts)
+                        numbers, parts, held = [], [], 0
+                if parts:
+                    yield _variants(numbers, file, parts)
 
     return run
 
 
+def _variants(numbers: list[int], file: str, parts: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([file] * len(parts)), pa.array(parts, pa.binary())], names=["bucket", "file", "rows"])
+
+
 def _one(file: str, kind: str, rows: np.ndarray) -> dict:
     return {"file": file, "kind": kind, "rows": rows.tobytes()}
 
@@ -182,24 +221,26 @@ def _owners(key: tuple, table: pa.Table) -> pa.Table:
     files = table["file"].to_pylist()
     parts = [np.frombuffer(x, VARIANT) for x in table["rows"].to_pylist()]
     rows = np.concatenate(parts)
-    source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    order = np.lexsort((source, rows["id"], rows["span"], rows["gram"]))
-    rows, source = rows[order], source[order]
-    new_gram = np.ones(len(rows), dtype=bool)
-    new_gram[1:] = rows["gram"][1:] != rows["gram"][:-1]
-    new_span = new_gram.copy()
-    new_span[1:] |= rows["span"][1:] != rows["span"][:-1]
-    owner = np.flatnonzero(new_span)[np.cumsum(new_span) - 1]
-    gram_no = np.cumsum(new_gram) - 1
-    spans_of_gram = np.bincount(gram_no[new_span], minlength=gram_no[-1] + 1)
-    least = np.minimum.reduceat(rows["id"][new_span], np.flatnonzero(new_gram[new_span]))
-    most = np.maximum.reduceat(rows["id"][new_span], np.flatnonzero(new_gram[new_span]))
-    taken = rows["id"] > rows["id"][owner]
-    ask = ~taken & (spans_of_gram > 1)[gram_no] & (least != most)[gram_no]
-    out = []
-    for f in range(len(files)):
+    order, new = _grouped(rows["gram"], rows["span"])
+    span_no = np.empty(len(rows), np.int64)
+    span_no[order] = np.cumsum(new) - 1
+    owner = _least(rows["id"], order, new)
+    # the spans of each anchor
+    grams = rows["gram"][order[new]]
+    by_gram = np.argsort(grams)
+    new_gram = np.ones(len(grams), dtype=bool)
+    new_gram[1:] = grams[by_gram[1:]] != grams[by_gram[:-1]]
+    starts, gram_no = np.flatnonzero(new_gram), np.cumsum(new_gram) - 1
+    several = np.minimum.reduceat(owner[by_gram], starts) != np.maximum.reduceat(owner[by_gram], starts)
+    compared = np.empty(len(grams), dtype=bool)
+    compared[by_gram] = several[gram_no]
+    taken = rows["id"] > owner[span_no]
+    ask = ~taken & compared[span_no]
+    # the rows of a file are neighbours
+    out, edges = [], np.cumsum([0, *(len(p) for p in parts)])
+    for f, own in enumerate(parts):
         for kind, which in (("all", taken), ("ask", ask)):
-            mine = rows[which & (source == f)]
+            mine = own[which[edges[f] : edges[f + 1]]]
             if len(mine):
                 message = np.empty(len(mine), REQUEST)
                 message["gram"], message["span"] = mine["gram"], mine["span"]
@@ -229,29 +270,40 @@ def _find(known: np.ndarray, gram: np.ndarray, span: np.ndarray) -> np.ndarray:
     return out
 
 
+def _cut(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of all spans, one after the other."""
+    ends = np.cumsum(sizes)
+    return data[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+ANSWERS = pa.schema([("bucket", pa.int32()), ("file", pa.string()), ("rows", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("bodies", pa.binary())])
+
+
 def _step_2(buckets: int, length: int, gram: int):
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         """The bytes of the spans that a file was asked for, by bucket."""
         file = key[0].as_py()
         asked = _merged(table, "ask", REQUEST)
-        out, seen = [], np.zeros(len(asked), dtype=bool)
+        out = []
         if len(asked):
             ids, texts, _ = _read(file)
-            found: dict[int, tuple[int, bytes]] = {}
-            for g, s, i, a, b, data, *_ in _scan(ids, texts, length, gram):
+            data, offsets = ts.flat(texts)
+            found = []
+            for g, s, i, a, b, _, row, base in _scan(ids, texts, length, gram):
                 at = _find(asked, g, s)
-                for k in np.flatnonzero(at >= 0).tolist():
-                    j, doc = int(at[k]), int(i[k])
-                    if j not in found or doc < found[j][0]:
-                        found[j] = (doc, data[a[k] : b[k] + length].tobytes())
-            keys = np.fromiter(found, np.int64, len(found))
-            bucket = (asked["gram"][keys] % ts.U(buckets)).astype(np.int64)
-            for b in np.unique(bucket).tolist():
-                mine = keys[bucket == b]
-                out.append(
-                    {"bucket": b, "file": file, "rows": asked[mine].tobytes(), "ids": np.array([found[j][0] for j in mine.tolist()], "<i8").tobytes(), "bodies": [found[j][1] for j in mine.tolist()]}
-                )
-        return pa.Table.from_pylist(out, pa.schema([("bucket", pa.int32()), ("file", pa.string()), ("rows", pa.binary()), ("ids", pa.binary()), ("bodies", pa.list_(pa.binary()))]))
+                k = np.flatnonzero(at >= 0)
+                found.append((at[k], i[k], offsets[row[k]] + a[k] - base[k], b[k] - a[k] + length))
+            which, docs, starts, sizes = (np.concatenate(x) for x in zip(*found))
+            # of equal spans that of the smallest id, bucket by bucket
+            order = np.lexsort((docs, which))
+            first = order[np.flatnonzero(np.diff(which[order], prepend=-1))]
+            bucket = _bucket(asked["gram"][which[first]], buckets)
+            first = first[np.argsort(bucket, kind="stable")]
+            edges = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                mine = first[edges[b] : edges[b + 1]]
+                out.append({"bucket": b, "file": file, "rows": asked[which[mine]].tobytes(), "ids": docs[mine].astype("<i8").tobytes(), "sizes": sizes[mine].astype("<i4").tobytes(), "bodies": _cut(data, starts[mine], sizes[mine]).tobytes()})
+        return pa.Table.from_pylist(out, ANSWERS)
 
     return answer
 
@@ -261,30 +313,28 @@ def _step_2_owners(length: int):
         """Of one bucket: which strings of the spans belong to a smaller id
         (kind ``some``; bit t stands for the span's string t)."""
         files = table["file"].to_pylist()
-        asked = [np.frombuffer(x, REQUEST) for x in table["rows"].to_pylist()]
-        source = np.repeat(np.arange(len(asked)), [len(x) for x in asked])
-        asked = np.concatenate(asked)
+        parts = [np.frombuffer(x, REQUEST) for x in table["rows"].to_pylist()]
+        asked = np.concatenate(parts)
         ids = np.concatenate([np.frombuffer(x, "<i8") for x in table["ids"].to_pylist()])
-        bodies = [x for row in table["bodies"].to_pylist() for x in row]
-        sizes = np.array([len(x) for x in bodies])
+        sizes = np.concatenate([np.frombuffer(x, "<i4") for x in table["sizes"].to_pylist()]).astype(np.int64)
+        bodies = np.frombuffer(b"".join(table["bodies"].to_pylist()), np.uint8)
         strings = sizes - length + 1
-        entry = np.repeat(np.arange(len(bodies)), strings)
+        entry = np.repeat(np.arange(len(sizes)), strings)
         t = np.arange(len(entry)) - np.repeat(np.cumsum(strings) - strings, strings)
-        hashes = ts.window_hashes(np.frombuffer(b"".join(bodies), np.uint8), length, ts.BASE)[(np.cumsum(sizes) - sizes)[entry] + t]
-        order = np.lexsort((ids[entry], hashes, asked["gram"][entry]))
-        entry, t, hashes = entry[order], t[order], hashes[order]
-        new = np.ones(len(entry), dtype=bool)
-        new[1:] = (hashes[1:] != hashes[:-1]) | (asked["gram"][entry[1:]] != asked["gram"][entry[:-1]])
-        owner = ids[entry[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+        hashes = ts.window_hashes(bodies, length, ts.BASE)[(np.cumsum(sizes) - sizes)[entry] + t]
+        order, new = _grouped(asked["gram"][entry], hashes)
+        owner = np.empty(len(entry), np.int64)
+        owner[order] = _least(ids[entry], order, new)[np.cumsum(new) - 1]
         taken = ids[entry] > owner
-        bits = np.zeros(len(bodies), dtype=ts.U)
+        bits = np.zeros(len(sizes), dtype=ts.U)
         np.bitwise_or.at(bits, entry[taken], ts.U(1) << t[taken].astype(ts.U))
-        out = []
-        for f in range(len(files)):
-            mine = np.flatnonzero((source == f) & (bits > 0))
-            if len(mine):
-                message = np.empty(len(mine), ANSWER)
-                message["gram"], message["span"], message["bits"] = asked["gram"][mine], asked["span"][mine], bits[mine]
+        out, edges = [], np.cumsum([0, *(len(p) for p in parts)])
+        for f, own in enumerate(parts):
+            found = bits[edges[f] : edges[f + 1]]
+            mine = found > 0
+            if mine.any():
+                message = np.empty(int(mine.sum()), ANSWER)
+                message["gram"], message["span"], message["bits"] = own["gram"][mine], own["span"][mine], found[mine]
                 out.append(_one(files[f], "some", message))
         return pa.Table.from_pylist(out, MESSAGES)
 
@@ -301,15 +351,15 @@ def _removed(ids: np.ndarray, texts: pa.Array, taken: np.ndarray, some: np.ndarr
     grams, spans, rows, first, more = (np.concatenate(x) for x in zip(*parts))
     del parts
     mine = ids[rows]
-    order = np.lexsort((mine, spans, grams))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (grams[order[1:]] != grams[order[:-1]]) | (spans[order[1:]] != spans[order[:-1]])
-    least = np.empty(len(order), dtype=np.int64)
-    least[order] = mine[order[np.flatnonzero(new)[np.cumsum(new) - 1]]]
-    whole = mine > least
-    del order, new, least, mine
-    whole |= _find(taken, grams, spans) >= 0
-    at = _find(some, grams, spans)
+    order, new = _grouped(grams, spans)
+    group = np.cumsum(new) - 1
+    # each kind of span is looked up once, in the order of the messages
+    kinds = grams[order[new]], spans[order[new]]
+    whole = np.empty(len(order), dtype=bool)
+    whole[order] = (mine[order] > _least(mine, order, new)[group]) | (_find(taken, *kinds) >= 0)[group]
+    at = np.empty(len(order), dtype=np.int64)
+    at[order] = _find(some, *kinds)[group]
+    del order, new, group, kinds, mine, grams, spans
     partly = np.flatnonzero((at >= 0) & ~whole)
     starts, ends, of = [first[whole].astype(np.int64)], [(first[whole].astype(np.int64) + more[whole] + length)], [rows[whole]]
     if len(partly):
@@ -380,8 +430,9 @@ def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # two anchors of 24 bytes in each length - gram + 2 bytes
     buckets = max(1, -(-total * 2 * VARIANT.itemsize // (length - gram + 2) // BUCKET_BYTES))
     names = store.inputFiles()
-    files = spark.createDataFrame([(x,) for x in names], "file string").repartition(max(1, len(names)))
-    message, asked = "file string, kind string, rows binary", "bucket int, file string, rows binary, ids binary, bodies array<binary>"
+    # one file a task; a shuffle of so few rows would leave tasks without any, and others with several
+    files = spark.range(0, len(names), 1, max(1, len(names))).select(F.element_at(F.split(F.lit("\n".join(names)), "\n"), (F.col("id") + 1).cast("int")).alias("file"))
+    message, asked = "file string, kind string, rows binary", "bucket int, file string, rows binary, ids binary, sizes binary, bodies binary"
     variants = files.mapInArrow(_step_1(buckets, length, gram), "bucket int, file string, rows binary")
     found = written(variants.groupBy("bucket").applyInArrow(_owners, message), "owners")
     bodies = found.where("kind = 'ask'").groupBy("file").applyInArrow(_step_2(buckets, length, gram), asked)

@@ -66,3 +66,38 @@ def test_texts_above_the_block_size(spark, monkeypatch):
     ids, texts = np.array([1, 2]), pa.array([body.encode(), (body + "z").encode()], pa.large_binary())
     row, start, end = suffix_dedup._removed(ids, texts, np.empty(0, suffix_dedup.REQUEST), np.empty(0, suffix_dedup.ANSWER), 50, 25)
     assert set(row.tolist()) == {1} and start[0] == 0 and len(body.encode()) - 50 < end[-1] <= len(body.encode())
+
+
+def test_work_of_a_file_and_of_a_bucket_is_in_proportion(tmp_path, monkeypatch):
+    """Sorted rows, sent batches and time follow the rows, and not their
+    number times that of blocks, buckets or files."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pick = random.Random(6)
+    texts = ["".join(pick.choice("abcdefgh ") for _ in range(2000)) for _ in range(100)]
+    pq.write_table(pa.table({"doc_id": pa.array(range(100), pa.int64()), "text": texts}), tmp_path / "x.parquet")
+    file = f"file:{tmp_path}/x.parquet"
+    # many blocks
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 2000)
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 300)
+    seen, distinct = [], suffix_dedup._distinct
+    monkeypatch.setattr(suffix_dedup, "_distinct", lambda rows: seen.append(len(rows)) or distinct(rows))
+    rows = suffix_dedup._file_variants(file, 50, 25)
+    assert len(rows) > 10_000 and sum(seen) < 4 * len(rows)
+    # many buckets
+    batches = list(suffix_dedup._step_1(5000, 50, 25)(iter([pa.RecordBatch.from_pydict({"file": [file]})])))
+    assert sum(b.num_rows for b in batches) > 1000 and len(batches) < 10
+
+    # many files
+    def seconds(files):
+        parts = pa.array([p.tobytes() for p in np.array_split(np.concatenate([rows] * 8), files)], pa.binary())
+        table = pa.table({"file": [f"f{i}" for i in range(files)], "rows": parts})
+        began = time.process_time()
+        suffix_dedup._owners((), table)
+        return time.process_time() - began
+
+    assert min(seconds(4000) for _ in range(3)) < 20 * max(min(seconds(4) for _ in range(3)), 0.01)
