@@ -14,14 +14,16 @@ each character. That bounds the model by 3 * 2**HASH_BITS * (4 + 4 * languages)
 bytes whatever the corpus; grams that share a hash share a row (the likelier
 one's). The language with the lowest cross-entropy per character wins.
 
-Rejection is calibrated on ``calibration_rows`` training rows (those with the
-smallest hashes of their ids): a text is rejected whose cross-entropy is beyond
-what any of them has, by a margin, for its length. The score is a logistic of
-the lead over the second language, scaled on the same rows.
+Rejection is calibrated on all training rows: a text is rejected whose
+cross-entropy is beyond what any of them has, by a margin, for its length. The
+score is a logistic of the lead over the second language, scaled on the same
+rows. Their figures (some numbers a row) are stored; what comes to the driver is
+counts of bins around the median, and sums of each partition.
 
 Texts that are null or without letters are ``und`` with score 0 and rejected;
-those of other rows are whole, of any length. Rows without id or language are
-predicted but not learned from. With no training rows all are ``und``.
+those of other rows are whole, of any length. Rows without language are
+predicted but not learned from; ``identify`` learns from no row that is held out
+or without id either. With no training rows all are ``und``.
 """
 
 from __future__ import annotations
@@ -39,6 +41,9 @@ ORDER = 4
 HASH_BITS = 21
 BLANK = ord(" ")
 FLUSH = 1 << 20
+LONG = 100
+BINS = 4096
+SLOPES = np.geomspace(0.05, 5, 40)
 U = np.uint64
 
 
@@ -217,34 +222,18 @@ class Model:
             zero = np.zeros(len(texts))
             return ["und"] * len(texts), zero, zero, np.ones(len(texts), dtype=bool)
         h, n = self.cross_entropies(texts)
-        best = h.argmin(axis=1)
-        least = h[np.arange(len(h)), best]
-        lead = np.partition(h, 1, axis=1)[:, 1] - least if h.shape[1] > 1 else np.full(len(h), 5.0)
+        best, least, lead = _ranked(h)
         score = np.where(n > 0, 1 / (1 + np.exp(-np.minimum(self.slope * lead * np.sqrt(n), 50))), 0)
         none = n == 0
         rejected = none | (least > self.limit + self.spread / np.sqrt(np.maximum(n, 1)))
         return ["und" if x else self.languages[b] for x, b in zip(none, best)], score, least, rejected
 
-    def calibrate(self, h: np.ndarray, n: np.ndarray, langs: list[str]) -> None:
-        """Set the limit of the cross-entropy and the slope of the score, from
-        the cross-entropies, letters and languages of labelled texts."""
-        use = np.array([x in self.languages for x in langs], dtype=bool) & (n > 0)
-        if not use.any() or len(self.languages) < 2:
-            return
-        h, n = h[use], n[use]
-        truth = np.array([self.languages.index(x) for x, u in zip(langs, use) if u])
-        own = h[np.arange(len(h)), truth]
-        long = n >= 100
-        middle = float(np.median(own[long] if long.any() else own))
-        # one nat above the usual entropy, and more for short texts, as far as the rows go
-        self.spread = float(max(((own - middle - 1) * np.sqrt(n)).max(), 0)) * 1.5
-        self.limit = middle + 1
-        best = h.argmin(axis=1)
-        lead = np.partition(h, 1, axis=1)[:, 1] - h.min(axis=1)
-        right = best == truth
-        slopes = np.geomspace(0.05, 5, 40)
-        p = 1 / (1 + np.exp(-np.minimum(slopes[:, None] * (lead * np.sqrt(n))[None, :], 30)))
-        self.slope = float(slopes[(np.where(right, np.log(p), np.log(1 - p))).sum(axis=1).argmax()])
+
+def _ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best language, its cross-entropy, how far the second's is from it)."""
+    best = h.argmin(axis=1)
+    least = h[np.arange(len(h)), best]
+    return best, least, np.partition(h, 1, axis=1)[:, 1] - least if h.shape[1] > 1 else np.full(len(h), 5.0)
 
 
 def _probabilities(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
@@ -297,8 +286,8 @@ def _stored(table: DataFrame, languages: list[str]) -> tuple[np.ndarray, np.ndar
     return keys[order], matrix[order].astype(np.float32)
 
 
-def train(rows: DataFrame, *, calibration_rows: int = 2000) -> Model:
-    """A model of the rows (id, text, lang), none of them null."""
+def train(rows: DataFrame) -> Model:
+    """A model of the rows (text, lang), none of them null."""
     counts = rows.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long")
     counts = written(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
@@ -317,23 +306,81 @@ def train(rows: DataFrame, *, calibration_rows: int = 2000) -> Model:
     # rows of grams known in one language only: fill the others from the lower orders
     for i in range(len(tables) - 1, -1, -1):
         _fill(model, i, probabilities[i])
-    chosen = rows.select("id").orderBy(F.xxhash64("id"), "id").limit(calibration_rows)
+    if len(languages) > 1:
+        _calibrate(model, rows)
+    return model
+
+
+def _calibrate(model: Model, rows: DataFrame) -> None:
+    """Set the limit of the cross-entropy and the slope of the score, from all
+    labelled rows that have letters."""
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    # at most calibration_rows ids; only numbers of these rows come to the driver
-    sample = rows.join(F.broadcast(chosen), "id", "left_semi").select("text", "lang")
-    got = sample.mapInArrow(_measured(sent), "lang string, n long, h array<double>").toArrow()
-    if got.num_rows:
-        model.calibrate(np.array(got["h"].to_pylist()), got["n"].to_numpy(), got["lang"].to_pylist())
+    measured = written(rows.select("text", "lang").mapInArrow(_measured(sent), "n long, own double, lead double, right boolean"), "measures")
     sent.destroy()
-    return model
+    middle = _median(measured.where(F.col("n") >= LONG), "own")
+    if middle is None:
+        middle = _median(measured, "own")
+    if middle is None:
+        return
+    got = measured.mapInArrow(_fitted(middle), "beyond double, fit array<double>").toArrow()
+    # one nat above the usual entropy, and more for short texts, as far as the rows go
+    model.spread = max(0.0, *got["beyond"].to_pylist()) * 1.5
+    model.limit = middle + 1
+    model.slope = float(SLOPES[np.sum(got["fit"].to_pylist(), axis=0).argmax()])
 
 
 def _measured(sent):
+    """Letters, cross-entropy in the row's own language, lead of the best one
+    and whether that is the row's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        number = {x: i for i, x in enumerate(model.languages)}
         for batch in batches:
             for part in slices(batch, "text"):
-                h, n = sent.value.cross_entropies(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array(n, pa.int64()), pa.array(h.tolist(), pa.list_(pa.float64()))], names=["lang", "n", "h"])
+                h, n = model.cross_entropies(part.column("text").to_pylist())
+                truth = np.array([number.get(x, -1) for x in part.column("lang").to_pylist()])
+                best, _, lead = _ranked(h)
+                use = (truth >= 0) & (n > 0)
+                own = h[np.arange(len(h)), truth]
+                yield pa.RecordBatch.from_arrays([pa.array(n[use], pa.int64()), pa.array(own[use]), pa.array(lead[use]), pa.array((best == truth)[use])], names=["n", "own", "lead", "right"])
+
+    return run
+
+
+def _median(values: DataFrame, column: str) -> float | None:
+    """The median (of two the lower one), exact: the bin that holds it is
+    divided into ``BINS`` until at most as many values are in it."""
+    x = F.col(column)
+    low, high, count = values.agg(F.min(x), F.max(x), F.count(x)).first()
+    rank = (count - 1) // 2
+    while count > BINS and low < high:
+        number = F.floor((x - F.lit(low)) / F.lit((high - low) / BINS))
+        bins = values.where(x.between(low, high)).groupBy(number.alias("bin")).agg(F.min(x).alias("low"), F.max(x).alias("high"), F.count(x).alias("n"))
+        for r in bins.orderBy("bin").collect():
+            if rank < r["n"]:
+                break
+            rank -= r["n"]
+        low, high, count = r["low"], r["high"], r["n"]
+    if not count or low == high:
+        return low
+    return sorted(values.where(x.between(low, high)).select(x).toArrow()[column].to_pylist())[rank]
+
+
+def _fitted(middle: float):
+    """Of a partition: how far a row is beyond the limit, by the root of its
+    letters, and the log likelihood of its rows for each slope."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        beyond, fit = 0.0, np.zeros(len(SLOPES))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            root = np.sqrt(batch.column("n").to_numpy())
+            beyond = max(beyond, float(((batch.column("own").to_numpy() - middle - 1) * root).max()))
+            p = 1 / (1 + np.exp(-np.minimum(SLOPES[:, None] * (batch.column("lead").to_numpy() * root)[None, :], 30)))
+            fit += np.where(batch.column("right").to_numpy(zero_copy_only=False), np.log(p), np.log(1 - p)).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array([beyond]), pa.array([fit.tolist()], pa.list_(pa.float64()))], names=["beyond", "fit"])
 
     return run
 
@@ -385,10 +432,10 @@ def _kept(sent, text: str):
     return run
 
 
-def without_rejected(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", part: int = 2, of: int = 4, calibration_rows: int = 2000) -> DataFrame:
-    """The rows, with all their columns, that a model learned from them accepts."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    model = train(rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id", part, of)), calibration_rows=calibration_rows)
+def without_rejected(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows, with all their columns, that a model learned from all those
+    with a language accepts."""
+    model = train(docs.select(text_or_empty(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("lang is not null"))
     return docs.mapInArrow(_kept(docs.sparkSession.sparkContext.broadcast(model), text), docs.schema)
 
 
@@ -397,12 +444,12 @@ def held_out(doc_id: str, part: int = 2, of: int = 4) -> Column:
     return F.coalesce(crc_bucket(doc_id, of) == part, F.lit(False))
 
 
-def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", part: int = 2, of: int = 4, calibration_rows: int = 2000) -> DataFrame:
+def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", part: int = 2, of: int = 4) -> DataFrame:
     """doc_id, held_out, lang_pred, score, cross_entropy and rejected of every
     row; learned from the rows that are not held out and have a language."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_or_empty(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    model = train(rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id", part, of)), calibration_rows=calibration_rows)
+    model = train(rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id", part, of)))
     sent = spark.sparkContext.broadcast(model)
     out = rows.select("id", held_out("id", part, of).alias("held_out"), "text").mapInArrow(_predicted(sent), "id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
     return out.withColumnRenamed("id", "doc_id")

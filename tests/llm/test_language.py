@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -96,3 +97,43 @@ def test_no_training_rows(spark):
 
 def test_empty_model():
     assert Model([], [], [], np.empty(0)).predict(["x"])[0] == ["und"]
+
+
+def test_calibrated_on_all_training_rows(spark):
+    """More rows than 2000, of which one is far off."""
+    data = [(i, t, g) for i, t, g, _ in rows(2300)]
+    frame = spark.createDataFrame(data, "id long, text string, lang string")
+    last = frame.selectExpr("id", "xxhash64(id) AS hash").orderBy("hash", "id").tail(1)[0].id
+    data[last] = (last, "".join(random.Random(7).choices("kalomitesu", k=400)), "aa")
+    model = train(spark.createDataFrame(data, frame.schema))
+    h, n = model.cross_entropies([t for _, t, _ in data])
+    truth = np.array([model.languages.index(g) for _, _, g in data])
+    own = h[np.arange(len(h)), truth]
+    middle = np.quantile(own[n >= 100], 0.5, method="lower")
+    assert np.isclose(model.limit, middle + 1, atol=1e-9)
+    assert model.spread > 1 and np.isclose(model.spread, ((own - middle - 1) * np.sqrt(n)).max() * 1.5)
+    assert not model.predict([data[last][1]])[3][0]
+    lead = np.partition(h, 1, axis=1)[:, 1] - h.min(axis=1)
+    slopes = np.geomspace(0.05, 5, 40)
+    p = 1 / (1 + np.exp(-np.minimum(slopes[:, None] * (lead * np.sqrt(n))[None, :], 30)))
+    assert np.isclose(model.slope, slopes[np.where(h.argmin(axis=1) == truth, np.log(p), np.log(1 - p)).sum(axis=1).argmax()])
+
+
+def test_rejection_learns_from_every_labelled_row(spark):
+    """Also from those that identify holds out, and those without an id."""
+    data = rows(300)
+    out = next(i for i in range(300) if zlib.crc32(str(i).encode()) % 4 == 2)
+    data[out] = (out, "zqx jvw kfg " * 40, "aa", 1.0)
+    data += [(None, "ỵẅṽ ḧḣḥ " * 40, "bb", 1.0), (5000, "漢字仮名 交文 " * 40, None, 1.0)]
+    kept = without_rejected(spark.createDataFrame(data, "doc_id long, text string, lang string, score double")).collect()
+    assert {r.doc_id for r in kept} >= {None, *range(300)}
+
+
+def test_median_is_exact(spark):
+    from rulespark.llm.language import _median
+
+    rnd = random.Random(3)
+    for values in ([rnd.gauss(0, 1) for _ in range(20_000)], [rnd.gauss(0, 1e-9) for _ in range(9999)] + [1e9], [2.5] * 5000, [1.0, 2.0], [7.0]):
+        frame = spark.createDataFrame([(x,) for x in values], "x double").repartition(3)
+        assert _median(frame, "x") == sorted(values)[(len(values) - 1) // 2]
+    assert _median(spark.createDataFrame([], "x double"), "x") is None
