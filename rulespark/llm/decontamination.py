@@ -224,11 +224,15 @@ def marked(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id
     return docs.join(merged, "_row").drop("_row")
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", part: int = 20, **options) -> DataFrame:
-    """The rows, with all their columns, that are not contaminated."""
-    found = marked(docs, benchmark, text=text, **options)
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", span: int = 13, part: int = 20, **options) -> DataFrame:
+    """The rows, with all their columns, that hold no ``span`` words of an item
+    in a row, however long they are, and of whose words less than one in
+    ``part`` lies in benchmark windows. Items of fewer words than ``span``,
+    which long texts hold by chance, count in the second law only."""
+    found = marked(docs, benchmark, text=text, span=span, **options)
     n_hit = covered()
-    return found.where(~((n_hit > 0) & (part * n_hit >= F.col("n_words")))).select(docs.columns)
+    whole = F.exists("spans", lambda s: s["b"] - s["a"] >= span)
+    return found.where(~(whole | ((n_hit > 0) & (part * n_hit >= F.col("n_words"))))).select(docs.columns)
 
 
 def covered(spans: str = "spans"):

@@ -1,4 +1,4 @@
-from rulespark.llm.decontamination import decontaminate
+from rulespark.llm.decontamination import decontaminate, without_contaminated
 
 
 def test_same_rows_for_one_block_and_for_several(spark):
@@ -23,3 +23,22 @@ def test_same_rows_for_one_block_and_for_several(spark):
         (True, 0, 20, 20, ["7"], True),
     ]
     assert runs[1] == runs[0]
+
+
+def test_no_document_keeps_a_window_however_long_it_is(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    item, short = words("item", 20), "alpha beta gamma"
+    texts = {
+        1: f"{words('x', 500)} {item} {words('y', 500)}",  # 20 of 1020 words
+        2: f"{words('x', 3000)} {words('item', 13)}",  # one window
+        3: f"{words('x', 3000)} {words('item', 12)}",  # less than a window
+        4: f"{words('x', 500)} {short}",  # a short item in a long text
+        5: f"{words('x', 50)} {short}",  # and in a short one
+        6: words("z", 1000),
+        7: None,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    for block_bytes in (1 << 20, 16):
+        kept = {r.doc_id: r.text for r in without_contaminated(docs, benchmark, block_bytes=block_bytes).collect()}
+        assert kept == {i: texts[i] for i in (3, 4, 6, 7)}
