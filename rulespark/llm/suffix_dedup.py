@@ -134,14 +134,21 @@ def _grouped(grams: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndar
     neighbours, and where in it each group begins. What is equal in its hash
     nearly always is in its anchor, so one key is sorted."""
     order = np.argsort(hashes)
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
-    if (~new[1:] & (grams[order[1:]] != grams[order[:-1]])).any():  # equal hashes, other anchors
+    new = _changes(hashes[order])
+    other = _changes(grams[order])
+    if (other & ~new).any():  # equal hashes, other anchors
         order = np.lexsort((grams, hashes))
-        new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (grams[order[1:]] != grams[order[:-1]])
+        new = _changes(hashes[order]) | _changes(grams[order])
     return order, new
 
 
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before; the first does."""
+    out = np.ones(len(values), dtype=bool)
+    np.not_equal(values[1:], values[:-1], out=out[1:])
+    return out
+
+
 def _least(values: np.ndarray, order: np.ndarray, new: np.ndarray) -> np.ndarray:
     """The smallest value of each group of ``_grouped``."""
     return np.minimum.reduceat(values[order], np.flatnonzero(new)) if len(order) else values
@@ -182,7 +189,11 @@ def _file_variants(file: str, length: int, gram: int) -> np.ndarray:
             parts = [_distinct(np.concatenate(parts))]
             held = len(parts[0])
             limit = max(FLUSH, 2 * held)
-    return _distinct(np.concatenate(parts)) if parts else np.empty(0, VARIANT)
+    if not parts:
+        return np.empty(0, VARIANT)
+    rows = np.concatenate(parts)
+    parts.clear()
+    return _distinct(rows)
 
 
 def _step_1(buckets: int, length: int, gram: int):
@@ -348,18 +359,22 @@ def _removed(ids: np.ndarray, texts: pa.Array, taken: np.ndarray, some: np.ndarr
         parts.append((g, s, r.astype(np.int32), (a - base).astype(np.int32), (b - a).astype(np.int8)))
     if not parts:
         return (np.empty(0, np.int64),) * 3
-    grams, spans, rows, first, more = (np.concatenate(x) for x in zip(*parts))
+    columns = [list(x) for x in zip(*parts)]
     del parts
-    mine = ids[rows]
+    grams, spans, rows, first, more = (np.concatenate(columns.pop(0)) for _ in range(5))
     order, new = _grouped(grams, spans)
-    group = np.cumsum(new) - 1
     # each kind of span is looked up once, in the order of the messages
     kinds = grams[order[new]], spans[order[new]]
+    del grams, spans
+    found, partial = _find(taken, *kinds) >= 0, _find(some, *kinds).astype(np.int32)
+    del kinds
+    group = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    mine = ids[rows[order]]
     whole = np.empty(len(order), dtype=bool)
-    whole[order] = (mine[order] > _least(mine, order, new)[group]) | (_find(taken, *kinds) >= 0)[group]
-    at = np.empty(len(order), dtype=np.int64)
-    at[order] = _find(some, *kinds)[group]
-    del order, new, group, kinds, mine, grams, spans
+    whole[order] = (mine > np.minimum.reduceat(mine, np.flatnonzero(new))[group]) | found[group]
+    at = np.empty(len(order), dtype=np.int32)
+    at[order] = partial[group]
+    del order, new, group, mine, found, partial
     partly = np.flatnonzero((at >= 0) & ~whole)
     starts, ends, of = [first[whole].astype(np.int64)], [(first[whole].astype(np.int64) + more[whole] + length)], [rows[whole]]
     if len(partly):
