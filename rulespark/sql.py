@@ -8,13 +8,18 @@ dialect needs: ORDER BY, WITH, UNION ALL, window frames.
 
 Averages of integers are Spark's; the truncated ones are
 ``rulespark.functions.sql.agg_avg_signed_N``.
+
+A negated IN of a subquery is written with a plain one, so that the subquery is
+shuffled: Spark broadcasts all its rows for NOT IN.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +63,55 @@ def split_list(text: str) -> list[str]:
     return [*out, text[start:].strip()] if text[start:].strip() else out
 
 
+TOKEN = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|\w+|\s+|[<>=!]+|.""", re.DOTALL)
+#: What an operand of IN cannot reach beyond.
+BOUNDS = {"select", "distinct", "all", "where", "and", "or", "not", "!", "on", "having", "when", "then", "else", "case", "by", ",", ";"}
+
+
+def without_not_in(text: str, alone: Callable[[str], bool]) -> str:
+    """``text`` with each negated ``x IN (subquery)`` as a plain one and a look
+    at the subquery's nulls: it is unknown if x, or some value, is null and
+    nothing equals, and true or false otherwise. alone: whether a subquery is
+    the same for every row and each time it is run; others stay, as do pairs."""
+    tokens = TOKEN.findall(text)
+    word = lambda i: tokens[i].lower() if 0 <= i < len(tokens) else ""
+    blank = lambda i: tokens[i].isspace() or tokens[i].startswith(("--", "/*"))
+
+    def step(i: int, by: int) -> int:
+        i += by
+        while 0 <= i < len(tokens) and blank(i):
+            i += by
+        return i
+
+    for i in range(len(tokens) - 1, -1, -1):
+        opening = step(i, 1)
+        if word(i) != "in" or word(opening) != "(" or word(step(opening, 1)) not in ("select", "with"):
+            continue
+        closing, depth = opening, 1
+        while depth and (closing := closing + 1) < len(tokens):
+            depth += {"(": 1, ")": -1}.get(tokens[closing], 0)
+        own = word(step(i, -1)) == "not"
+        last = first = step(step(i, -1) if own else i, -1)
+        depth = cases = 0
+        while first >= 0 and not (depth == cases == 0 and (word(first) in BOUNDS or word(first) == "(")):
+            depth += {")": 1, "(": -1}.get(word(first), 0)
+            cases += {"end": 1, "case": -1}.get(word(first), 0) if not depth else 0
+            first -= 1
+        outer, depth, negated = first, 0, own or word(step(first + 1, -1)) in ("not", "!")
+        while outer >= 0 and not negated:
+            depth += {")": 1, "(": -1}.get(word(outer), 0)
+            if depth < 0:
+                depth, negated = 0, word(step(outer, -1)) in ("not", "!")
+            outer -= 1
+        x, query = "".join(tokens[first + 1 : last + 1]).strip(), "".join(tokens[opening + 1 : closing])
+        if not negated or not x or closing >= len(tokens) or x.startswith("(") and len(split_list(x[1:-1])) > 1 or not alone(query):
+            continue
+        nulls = f"(SELECT CASE WHEN count(*) = 0 THEN 0 WHEN count(__v) = count(*) THEN 1 ELSE 2 END FROM ({query}\n) AS __s(__v))"
+        yes, no = ("FALSE", "TRUE") if own else ("TRUE", "FALSE")
+        tokens[first + 1 : closing + 1] = [f" (CASE WHEN ({x}) IN ({query}) THEN {yes} WHEN {nulls} > CASE WHEN ({x}) IS NULL THEN 0 ELSE 1 END THEN CAST(NULL AS BOOLEAN) ELSE {no} END)"]
+    return "".join(tokens)
+
+
 class Database:
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -113,7 +167,47 @@ class Database:
             m = re.fullmatch(pattern, text, re.IGNORECASE | re.DOTALL)
             if m:
                 return act(*m.groups()) or self.spark.range(0).select()
-        return self.spark.sql(self._named(text))
+        return self._query(text)
+
+    def _query(self, text: str) -> DataFrame:
+        text = self._named(text)
+        made = self.spark.sql(text)
+        if not re.match(r"[\s(]*(?:select|with)\b", text, re.IGNORECASE):
+            return made
+        common = re.match(r"\s*with\b", text, re.IGNORECASE) and self._common(text)
+
+        def alone(query: str) -> bool:
+            if re.search(r"\b(?:limit|offset|tablesample)\b", query, re.IGNORECASE):
+                return False
+            try:
+                return self._repeatable(self.spark.sql((common or "") + query))
+            except PySparkException:  # it has columns of the query around it
+                return False
+
+        plain = without_not_in(text, alone)
+        if plain == text or not self._repeatable(made):
+            return made
+        try:
+            better = self.spark.sql(plain).toDF(*made.columns)
+            better._jdf.queryExecution().optimizedPlan()
+        except PySparkException:
+            return made
+        return better
+
+    @staticmethod
+    def _repeatable(df: DataFrame) -> bool:
+        return df._jdf.queryExecution().analyzed().deterministic()
+
+    @staticmethod
+    def _common(text: str) -> str:
+        """The WITH part of a query."""
+        depth, out = 0, []
+        for t in TOKEN.findall(text):
+            if not depth and t.lower() == "select":
+                break
+            depth += {"(": 1, ")": -1}.get(t, 0)
+            out.append(t)
+        return "".join(out)
 
     def _create_table(self, name: str, body: str) -> None:
         name, columns, key = name.lower(), [], []
@@ -136,7 +230,7 @@ class Database:
         name = name.lower()
         if name in self.tables or name in self.views:
             raise SqlError(f"{name} exists")
-        made = self.spark.sql(self._named(body))
+        made = self._query(body)
         made.createOrReplaceTempView(self.prefix + name)
         self.views[name] = body
 
@@ -161,13 +255,13 @@ class Database:
     def _refresh(self, name: str, df: DataFrame) -> None:
         self.register(name, stored(df, name), self.keys[name])
         for view, body in self.views.items():  # a temporary view keeps the plan it was made with
-            self.spark.sql(self._named(body)).createOrReplaceTempView(self.prefix + view)
+            self._query(body).createOrReplaceTempView(self.prefix + view)
 
     def _insert(self, name: str, columns: str | None, source: str) -> None:
         name = self._own(name)
         old = self.tables[name]
         names = [c.strip().lower() for c in split_list(columns)] if columns else old.columns
-        new = self.spark.sql(self._named(source))
+        new = self._query(source)
         if len(new.columns) != len(names):
             raise SqlError(f"{len(new.columns)} values for {len(names)} columns")
         new = new.toDF(*names)

@@ -47,3 +47,36 @@ def test_databases_are_apart(spark):
     b.execute("create table x (k integer)")
     a.execute("insert into x values (1)")
     assert rows(b.execute("select * from x")) == []
+
+
+NOT_IN = ["k NOT IN ({s})", "NOT k IN ({s})", "NOT (k IN ({s}) OR k = 2)", "k + 1 NOT IN ({s})", "k = 1 OR k NOT IN ({s})", "NOT (k NOT IN ({s}))", "(k NOT IN ({s})) IS NULL", "CASE WHEN k > 1 THEN k ELSE 0 END NOT IN ({s}) AND k > 0"]
+VALUES = ["SELECT v FROM b", "SELECT v FROM b WHERE v IS NOT NULL", "SELECT v FROM b WHERE v > 100", "WITH w AS (SELECT v FROM b) SELECT v FROM w WHERE v NOT IN (SELECT k FROM a WHERE k > 2)"]
+
+
+@pytest.mark.parametrize("condition", NOT_IN)
+def test_negated_in_broadcasts_nothing_and_knows_nulls(spark, condition):
+    import duckdb
+
+    db, con = Database(spark), duckdb.connect()
+    for name, column, values in (("a", "k", [1, 2, 3, 4, None]), ("b", "v", [2, 3, 3, 7, None])):
+        db.register(name, spark.createDataFrame([(v,) for v in values], f"{column} long"))
+        con.execute(f"CREATE TABLE {name} ({column} BIGINT)")
+        con.executemany(f"INSERT INTO {name} VALUES (?)", [(v,) for v in values])
+    for values in VALUES:
+        sql = f"SELECT k FROM a WHERE {condition.format(s=values)}"
+        made = db.execute(sql)
+        assert sorted(made.collect(), key=str) == sorted(con.execute(sql).fetchall(), key=str), sql
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" not in plan and "OR isnull(" not in plan, sql
+
+
+def test_not_in_elsewhere_stays_what_it_was(spark):
+    db = Database(spark)
+    db.register("a", spark.createDataFrame([(1, 1), (2, 1), (3, 2), (None, 2)], "k long, g long"))
+    db.register("b", spark.createDataFrame([(1, 1), (2, 2), (None, 2)], "v long, g long"))
+    assert rows(db.execute("SELECT k FROM a WHERE k NOT IN (SELECT v FROM b WHERE b.g = a.g)")) == [(2,)]
+    assert rows(db.execute("WITH c AS (SELECT v FROM b WHERE v IS NOT NULL) SELECT k FROM a WHERE k NOT IN (SELECT v FROM c)")) == [(3,)]
+    assert rows(db.execute("SELECT k FROM a WHERE (k, g) NOT IN (SELECT v, g FROM b WHERE v IS NOT NULL)")) == [(2,), (3,)]
+    assert rows(db.execute("SELECT 'x NOT IN (SELECT v FROM b)' AS s FROM b WHERE v = 1")) == [("x NOT IN (SELECT v FROM b)",)]
+    db.execute("CREATE VIEW rest AS SELECT k FROM a WHERE k NOT IN (SELECT v FROM b WHERE v > 1)")
+    assert rows(db.execute("SELECT k FROM rest")) == [(1,), (3,)]
