@@ -59,13 +59,14 @@ def adjust_allocation(allocated, wanting, low: int, high: int) -> Column:
 
 
 def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` with ``name``: 1, 2, ... in the order of ``key``. Rows are sorted
-    in ranges that are stored, and each range counts on from those before it."""
-    ranges = stored(df.repartitionByRange(F.col(key)).withColumn("__range", F.spark_partition_id()), "ranges")
+    """``df`` with ``name``: 1, 2, ... in the order of ``key``, nulls last. Rows are
+    sorted in ranges that are stored, and each range counts on from those before it."""
+    order = F.col(key).asc_nulls_last()
+    ranges = stored(df.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), "ranges")
     counts = ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
     # one row for each range
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    local = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    local = F.row_number().over(Window.partitionBy("__range").orderBy(order))
     return ranges.withColumn("__local", local).join(counts.select("__range", before.alias("__before")), "__range").select(*df.columns, (F.col("__local") + F.col("__before")).cast("long").alias(name))
 
 

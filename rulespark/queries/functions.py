@@ -160,8 +160,9 @@ def q_hash_partition(t: Tables) -> DataFrame:
 
 @query("SELECT s_name AS name, CAST(row_number() OVER (ORDER BY s_name) * 2 AS BIGINT) AS number FROM supplier")
 def q_allocate(t: Tables) -> DataFrame:
-    taken = t.spark.range(1, 5000, 2)
-    return allocate.allocate_relation(t.supplier.select(c("s_name").alias("name")), taken, "number", 1, 5000)
+    """Odd numbers are taken, and the range has an even one for each supplier."""
+    most = 2 * t.supplier.count()
+    return allocate.allocate_relation(t.supplier.select(c("s_name").alias("name")), t.spark.range(1, most, 2), "number", 1, most)
 
 
 @query("SELECT p_partkey AS k, p_brand || p_type AS cat, CAST(strlen(p_name) AS INTEGER) AS n, regexp_full_match(p_brand, 'Brand#1[0-9]') AS m, CAST((p_size > 10 AND p_partkey % 2 = 1) AS INTEGER) AS both, coalesce(TRY_CAST(right(p_brand, 2) AS INTEGER), 0) AS number FROM part")
