@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulespark.pairs import pairs_within
 from rulespark.queries import Tables, query
 from rulespark.rules import Atom, Expr, FlatMap, GroupBy, Head, Inspect, Let, Not, Where
 
@@ -84,7 +85,7 @@ def q_flatmap_events_json(t: Tables) -> DataFrame:
 def q_self_join_pairs(t: Tables) -> DataFrame:
     p = t.program("supplier")
     p.relation("pair", "a", "b")
-    p.rule(Head("pair", a="x", b="y"), Atom("supplier", s_suppkey="x", s_nationkey="n"), Atom("supplier", s_suppkey="y", s_nationkey="n"), Where("x < y"))
+    p.apply(lambda s: pairs_within(s, "s_nationkey", "s_suppkey", "a", "b"), ["supplier"], ["pair"])
     return p.result("pair")
 
 
