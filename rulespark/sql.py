@@ -172,15 +172,15 @@ class Database:
     def _query(self, text: str) -> DataFrame:
         text = self._named(text)
         made = self.spark.sql(text)
-        if not re.match(r"[\s(]*(?:select|with)\b", text, re.IGNORECASE):
+        common = self._common(text)
+        if common is None:
             return made
-        common = re.match(r"\s*with\b", text, re.IGNORECASE) and self._common(text)
 
         def alone(query: str) -> bool:
             if re.search(r"\b(?:limit|offset|tablesample)\b", query, re.IGNORECASE):
                 return False
             try:
-                return self._repeatable(self.spark.sql((common or "") + query))
+                return self._repeatable(self.spark.sql(common + query))
             except PySparkException:  # it has columns of the query around it
                 return False
 
@@ -199,15 +199,20 @@ class Database:
         return df._jdf.queryExecution().analyzed().deterministic()
 
     @staticmethod
-    def _common(text: str) -> str:
-        """The WITH part of a query."""
+    def _common(text: str) -> str | None:
+        """The WITH part of a query, which may be empty; None if the text is
+        another statement, which must not be run twice."""
         depth, out = 0, []
         for t in TOKEN.findall(text):
-            if not depth and t.lower() == "select":
-                break
+            if (not depth or not out) and re.fullmatch(r"\w+", t):
+                if t.lower() == "select" or depth and t.lower() == "with":
+                    return "".join(out)
+                if not out and t.lower() != "with" or t.lower() in ("insert", "from", "update", "delete", "merge"):
+                    return None
             depth += {"(": 1, ")": -1}.get(t, 0)
-            out.append(t)
-        return "".join(out)
+            if out or re.fullmatch(r"\w+", t):
+                out.append(t)
+        return None
 
     def _create_table(self, name: str, body: str) -> None:
         name, columns, key = name.lower(), [], []

@@ -80,3 +80,26 @@ def test_not_in_elsewhere_stays_what_it_was(spark):
     assert rows(db.execute("SELECT 'x NOT IN (SELECT v FROM b)' AS s FROM b WHERE v = 1")) == [("x NOT IN (SELECT v FROM b)",)]
     db.execute("CREATE VIEW rest AS SELECT k FROM a WHERE k NOT IN (SELECT v FROM b WHERE v > 1)")
     assert rows(db.execute("SELECT k FROM rest")) == [(1,), (3,)]
+
+
+def test_not_in_of_groups_joins_and_ordered_rows(spark):
+    db = Database(spark)
+    db.register("a", spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 3)], "k long, g long"))
+    db.register("b", spark.createDataFrame([(2,), (4,)], "v long"))
+    assert rows(db.execute("SELECT g, max(k) FROM a GROUP BY g HAVING max(k) NOT IN (SELECT v FROM b)")) == [(2, 3)]
+    assert rows(db.execute("SELECT a.k, c.k FROM a LEFT JOIN a AS c ON a.k = c.k AND c.k NOT IN (SELECT v FROM b) WHERE a.g < 3")) == [(1, 1), (2, None), (3, 3)]
+    assert [tuple(r) for r in db.execute("SELECT k -- (not in (select\n FROM a WHERE k /* key */ NOT IN -- free\n (SELECT v FROM b -- taken\n) ORDER BY k DESC LIMIT 1").collect()] == [(3,)]
+    assert rows(db.execute("SELECT k FROM a WHERE k NOT IN (SELECT v FROM b ORDER BY v LIMIT 1)")) == [(1,), (3,), (4,)]
+    either = db.execute("(SELECT k FROM a WHERE k NOT IN (SELECT v FROM b)) UNION ALL (SELECT v FROM b WHERE v NOT IN (SELECT g FROM a))")
+    assert rows(either) == [(1,), (3,), (4,)]
+    assert "LeftAnti" not in either._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_other_statements_run_once(spark, tmp_path):
+    db = Database(spark)
+    db.register("a", spark.createDataFrame([(1,), (2,)], "k long"))
+    path = f"{tmp_path}/kept"
+    spark.range(0).toDF("k").write.parquet(path)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY VIEW kept USING parquet OPTIONS (path '{path}')")
+    db.execute("WITH c AS (SELECT k FROM a) INSERT INTO kept SELECT k FROM c WHERE k NOT IN (SELECT k FROM a WHERE k > 1)")
+    assert rows(spark.read.parquet(path)) == [(1,)]
